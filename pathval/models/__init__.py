@@ -1,0 +1 @@
+"""Contracts to import: options, storage, a power plant."""
