@@ -12,42 +12,71 @@ in rows, until one spans them all.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathval.llm.common import staged, utf8
 
 
+#: What the pre-tokenizer of the word vocabulary cuts out of lower-case text (a fixed value).
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Byte-level vocabularies write printable bytes as themselves and the others as signs from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(PRINTABLE))}
+
+
 class Words:
     """Ids of texts by a tokenizer that never joins over ASCII white space.
 
-    Each run of other characters is encoded once and its ids kept as bytes; what is kept is
-    forgotten past ``most``, so memory is bounded whatever the texts hold.
+    Each run of other characters is encoded once and its ids kept as bytes.  Of printable Latin
+    text, where normalising is lower-casing alone, a run is cut into parts as the tokenizer
+    does and each part given to its model once; other runs go through the whole tokenizer.
+    What is kept is forgotten past ``most``, so memory is bounded whatever the texts hold.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.known = most, {}
+        self.model, self.cut = self.tokenizer.model, regex.compile(PARTS).findall
+        self.most, self.known, self.parts = most, {}, {}
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if not text.isprintable() or not text.isascii() and max(text) >= "\u0250":
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        parts, out, low = self.parts, [], text.lower()
+        if low.isalpha():  # most words, cut without the pattern
+            found = (low,)
+        elif low[:-1].isalpha() and low[-1] in ".,":
+            found = (low[:-1], low[-1])
+        else:
+            found = self.cut(low)
+        for part in found:
+            ids = parts.get(part)
+            if ids is None:
+                signs = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
+                ids = parts[part] = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+            out.append(ids)
+        return b"".join(out) if len(out) != 1 else out[0]
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers; null is empty."""
         words, known = utf8(text).split(), self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > self.most:
-                known.clear()
-                new = list(set(words))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        if len(known) > self.most:
+            known.clear()
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = self._word(w)
         return b"".join(map(known.__getitem__, words))
 
 
