@@ -28,7 +28,7 @@ def power_plant(spark: SparkSession, paths: int = 20_000, seed: int = 0) -> Resu
     """Four days of a power plant, two correlated markets, deltas by day."""
     source = """
 from pathval.models.powerplant import PowerPlant
-PowerPlant(Date('2012-1-1'), Date('2012-1-5'), Market('POWER'), Market('GAS'), 2, TimeDelta('1d'))
+PowerPlant(Date('2012-1-1'), Date('2012-1-5'), 'POWER', 'GAS', 0, TimeDelta('1d'))
 """
     days = [f"2012-1-{d}" for d in range(1, 6)]
     model = {"market": ["POWER", "GAS"], "sigma": [0.3, 0.3], "rho": [[1.0, 0.8], [0.8, 1.0]], "curve": {"POWER": list(zip(days, [13.0, 14.0, 12.0, 13.5, 13.0], strict=True)), "GAS": list(zip(days, [11.0, 10.5, 10.0, 10.0, 10.0], strict=True))}}

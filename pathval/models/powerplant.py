@@ -3,25 +3,19 @@ def PowerPlant(start, end, power, gas, temperature, step):
         0
     else:
         Wait(start, Choice(
-            PowerPlant(start + step, end, power, gas, 2, step) + Running(power, gas, temperature),
+            PowerPlant(start + step, end, power, gas, 2, step) + Output(temperature) * ForwardMarket(start + step, power) - ForwardMarket(start + step, gas),
             PowerPlant(start + step, end, power, gas, Cooler(temperature), step)
         ))
 
 
 @inline
-def Running(power, gas, temperature):
-    if temperature >= 2:
-        power - gas
-    else:
-        (power - gas) * Share(temperature)
-
-
-@inline
-def Share(temperature):
-    if temperature == 1:
-        0.8
-    else:
+def Output(temperature):
+    if temperature <= 0:
+        0.3
+    elif temperature == 1:
         0.6
+    else:
+        1.0
 
 
 @inline

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pathval.errors import DslSyntaxError, DslSystemError
@@ -96,16 +96,6 @@ def price_key(e: Expr, present: dt.date | None) -> PriceKey:
     return market_name(e), present, e.args[0].value if e.op == "ForwardMarket" else present
 
 
-def timed(e: Expr, present: dt.date | None) -> Iterator[tuple[Expr, dt.date | None]]:
-    """All expressions inside ``e`` with their present times, choices' insides too."""
-    left = [(e, present)]
-    while left:
-        x, t = left.pop()
-        yield x, t
-        inner = x.args[0].value if x.op in FIXINGS else t
-        left += [(c, inner) for c in reversed(x.children)]
-
-
 def build(nodes: list[Node], observation: dt.date | None, periodisation: str | None = None) -> Program:
     by_number = {n.number: n for n in nodes}
     order = execution_order({n.number: n.needs for n in nodes})
@@ -125,23 +115,25 @@ def build(nodes: list[Node], observation: dt.date | None, periodisation: str | N
         if periodisation == "alltime":
             prices.add((market, observation, observation))
 
-    def survey(e: Expr, present: dt.date | None, own: frozenset[str]) -> tuple[int, set[int], set[PriceKey]]:
-        """Choices below and including ``e``; choices and prices that it reads first."""
+    def survey(e: Expr, present: dt.date | None) -> tuple[int, set[int], set[PriceKey], frozenset[str]]:
+        """Choices below and including ``e``; choices and prices that it reads first; bumps that touch it."""
         if e.op == "Stub":
-            return depth[e.value], *visible[e.value]
+            return depth[e.value], *visible[e.value], bumps[e.value]
         if e.op in ("Market", "ForwardMarket"):
             key = price_key(e, present)
             add_price(key)
-            return 0, set(), {key}
+            name = perturbation_name(key[0], key[2], periodisation)
+            return 0, set(), {key}, frozenset([name] if name else [])
         inner = e.args[0].value if e.op in FIXINGS else present
-        below, reads, keys = 0, set(), set()
+        below, reads, keys, own = 0, set(), set(), frozenset()
         for c in e.children:
-            d, r, k = survey(c, inner, own)
+            d, r, k, b = survey(c, inner)
             below = max(below, d)
             reads |= r
             keys |= k
+            own |= b
         if e.op != "Choice" or not markets:
-            return below, reads, keys
+            return below, reads, keys, own
         found = place.get((e, present))
         if found is None:
             for m in markets:
@@ -149,19 +141,13 @@ def build(nodes: list[Node], observation: dt.date | None, periodisation: str | N
                 keys.add((m, present, present))
             found = place[e, present] = len(choices)
             choices.append(Choosing(found, e, present, below + 1, own, frozenset(reads), frozenset(keys)))
-        else:
-            choices[found].bumps |= own
-        return choices[found].level, {found}, set()
+        return choices[found].level, {found}, set(), own
 
     for n in order:
         node = by_number[n]
         level[n] = 1 + max((level[d] for d in node.needs), default=-1)
-        own = {perturbation_name(*(lambda k: (k[0], k[2]))(price_key(e, t)), periodisation) for e, t in timed(node.expr, node.present) if e.op in ("Market", "ForwardMarket")} if periodisation else set()
-        bumps[n] = frozenset(own).union(*(bumps[d] for d in node.needs)) - {None}
-        d, r, k = survey(node.expr, node.present, bumps[n])
-        depth[n], visible[n] = d, (r, k)
-    for c in choices:  # regressors are those of a choice's own time
-        c.prices |= {(m, c.present, c.present) for m in markets}
+        depth[n], reads, keys, bumps[n] = survey(node.expr, node.present)
+        visible[n] = (reads, keys)
     reads, keys = visible[0]
     return Program(by_number, order, level, markets, bumps, choices, place, frozenset(prices), observation, periodisation, frozenset(reads), frozenset(keys))
 
