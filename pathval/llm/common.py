@@ -37,6 +37,11 @@ def staged(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns]).alias("pv_row")
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id written in decimal, modulo ``parts``; a null id gives null."""
     return F.crc32(F.col(doc_id).cast("string")) % parts

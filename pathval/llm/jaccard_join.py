@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathval.llm.common import staged, utf8
+from pathval.llm.common import staged, utf8, whole_row
 from pathval.llm.quality_rules import word_hashes
 
 WORDS = 5
@@ -304,7 +304,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def node(texts: pd.Series) -> pd.Series:
         return pd.Series([digest(s) if len(s) else None for s in map(shingles, texts)], dtype="Int64")
 
-    tagged = docs.withColumn("pv_node", node("text"))
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("pv_id"))) & (F.col("pv_node") == F.col("pv_of"))
-    full = tagged.where("pv_node is not null").join(kept, same, "left_semi").dropDuplicates(["doc_id", "pv_node"])
-    return full.unionByName(tagged.where("pv_node is null")).select(*docs.columns)
+    tagged = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("pv_id"), node("text").alias("pv_of"))
+    kept = kept.select(F.col("pv_id").alias("id"), F.col("pv_of").alias("of"))
+    same = tagged["pv_id"].eqNullSafe(kept["id"]) & (tagged["pv_of"] == kept["of"])
+    full = tagged.where("pv_of is not null").join(kept, same, "left_semi").dropDuplicates(["pv_id", "pv_of"])
+    both = full.unionByName(tagged.where("pv_of is null"))
+    return both.select(*[F.col("pv_row")[c].alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathval.llm.common import staged
+from pathval.llm.common import staged, whole_row
 
 #: Lines of a chunk, about, and the multiplier of the rolling hash over two lines.
 MEAN, STEP = 3, 31
@@ -42,8 +42,8 @@ def _keys(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("pv_doc"), F.xxhash64(text_col).alias("pv_key")]
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN) -> DataFrame:
-    """``docs`` with repeated chunks taken out of its texts, and ``pv_removed``, their places.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN, removed_col: str | None = None) -> DataFrame:
+    """``docs`` with repeated chunks taken out of its texts, and their places in ``removed_col`` if named.
 
     The first place is that of the least id, then the earliest in the text; a null id comes
     first.  Null and empty texts have no chunks and stay; a text whose chunks all go becomes
@@ -56,17 +56,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spot = F.struct("pv_doc", "pos", "pv_key")
     first = met.groupBy("h", "chunk").agg(F.min(spot).alias("f"))
     drop = met.join(first, ["h", "chunk"]).where(spot != F.col("f")).groupBy("pv_doc", "pv_key").agg(F.sort_array(F.collect_set("pos")).alias("pv_removed"))
-    keyed = docs.select("*", *_keys(id_col, text_col))
+    # the row stands in a struct, so that none of its columns meets a name used here
+    keyed = docs.select(whole_row(docs), F.col(text_col).alias("pv_text"), *_keys(id_col, text_col))
     joined = keyed.join(drop, ["pv_doc", "pv_key"], "left")
-    numbered = F.transform(chunks(F.col(text_col), mean), lambda x, k: F.struct(k.alias("k"), x.alias("x")))
-    # the places to drop are told inside the text's own array, so that nothing is looked up twice
+    numbered = F.transform(chunks(F.col("pv_text"), mean), lambda x, k: F.struct(k.alias("k"), x.alias("x")))
     left = F.filter(numbered, lambda c: ~F.array_contains(F.col("pv_removed"), c.k))
-    text = F.when(F.col("pv_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda c: c.x), "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], "pv_removed")
+    text = F.when(F.col("pv_removed").isNull(), F.col("pv_text")).otherwise(F.array_join(F.transform(left, lambda c: c.x), "\n"))
+    removed = [] if removed_col is None else [F.col("pv_removed").alias(removed_col)]
+    return joined.select(*[text.alias(c) if c == text_col else F.col("pv_row")[c].alias(c) for c in docs.columns], *removed)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """For each row its cleaned text and how many chunks were removed."""
-    out = deduplicated(docs.select("doc_id", "text"))
-    removed = F.coalesce(F.size("pv_removed"), F.lit(0))
+    out = deduplicated(docs.select("doc_id", "text"), removed_col="removed")
+    removed = F.coalesce(F.size("removed"), F.lit(0))
     return out.select("doc_id", "text", F.when(removed > 0, removed).otherwise(0).cast("long").alias("n_removed"))
