@@ -25,7 +25,7 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without chunks of lines that stand earlier in the corpus."""
-    out = line_dedup.deduplicated(docs).select(*docs.columns)
+    out = line_dedup.deduplicated(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out
