@@ -208,7 +208,7 @@ def test_limits_and_errors(run):
 def test_timeout(run):
     days = "".join(f" + Wait('2011-{m}-{d}', Choice(Market('NBP') - 9, 0))" for m in range(2, 5) for d in range(1, 25))
     with pytest.raises(SystemExit):
-        run("0" + days, "daily", path_count=400_000, timeout=0.5)
+        run("0" + days, "daily", path_count=60_000, timeout=0.2)
 
 
 def test_storage_and_power_plant_models(spark):
