@@ -23,7 +23,7 @@ ESCAPE, END, PLAIN = "\x01", "\x01\x02", "\x01\x03"
 def chunks(text: Column, mean: int = MEAN) -> Column:
     """The text's chunks of lines, in order; joined by line breaks they give the text back."""
     lines = F.split(F.replace(text, F.lit(ESCAPE), F.lit(PLAIN)), "\n", -1)
-    hashed = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
+    hashed = F.transform(F.split(text, "\n", -1), lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
     before = F.slice(F.concat(F.array(F.lit(0).cast("long")), hashed), F.lit(1), F.size(lines))
     rolled = F.zip_with(hashed, before, lambda h, b: h + STEP * b)
     marked = F.zip_with(lines, rolled, lambda x, r: F.when(r % mean == 0, F.concat(x, F.lit(END))).otherwise(x))
