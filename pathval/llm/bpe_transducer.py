@@ -7,7 +7,8 @@ next token, spell it byte by byte along a trie, and check it against the one bef
 prefix of a text has one encoding, so a determinised state is the list of tokens being spelt,
 each with the tokens read since all of them agreed.  What all agree on is emitted; an entry
 lives as long as some token continues it, so the lookahead is at most the longest token.
-States and transitions are made when first met and forgotten when they pass a bound.
+States and transitions are made when met a second time and forgotten when they pass a bound;
+until then a piece goes on from the last state's entries without a state of its own.
 
 Decoding joins the tokens' bytes and feeds them to an incremental UTF-8 automaton, so that a
 character split over tokens, or over calls, comes out whole.
@@ -16,8 +17,12 @@ character split over tokens, or over calls, comes out whole.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 class Transducer:
     """Encodes byte strings by ``ranks`` (token bytes to rank, all single bytes among them)."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
         self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {r: b for b, r in ranks.items()}
         self._pairs: dict[int, bool] = {}
@@ -57,7 +62,8 @@ class Transducer:
         self._states: list[tuple] = [((0, -1, ()),)]
         self._number: dict[tuple, int] = {self._states[0]: 0}
         self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self._ends: list[tuple[int, ...] | None] = [()]
+        self._ends: list[tuple[int, ...]] = [()]
+        self._met: set[int] = set()  # transitions asked for once
 
     def merged(self, piece: bytes, left: int = 1) -> list[int]:
         """The definition: merge the neighbouring pair of lowest rank, leftmost first, till none
@@ -159,18 +165,63 @@ class Transducer:
         move = self._moves[state][byte] = (number, emitted)
         return move
 
+    def _onward(self, state: int, rest: bytes) -> list[int]:
+        """Tokens from a state to the end of a piece, by its entries alone; a path is (path before, token)."""
+        trie, token_of, known = self._trie, self._token, self._pairs
+        live = []
+        for node, before, pending in self._states[state]:
+            path = None
+            for token in pending:
+                path = (path, token)
+            live.append((trie[node], pending[-1] if pending else before, path))
+        root = trie[0]
+        for byte in rest:
+            entries, done = [], None
+            for below, last, path in live:
+                if byte in below:
+                    nxt = below[byte]
+                    token = token_of[nxt]
+                    if token >= 0 and done is None:
+                        key = (last + 1) << 32 | token
+                        if key in known:
+                            fits = known[key]
+                        else:
+                            if len(known) > self.most_states:
+                                known.clear()
+                            fits = known[key] = self._stands(token) and (last < 0 or self._fits(last, token))
+                        if fits:
+                            done = (root, token, (path, token))
+                    below = trie[nxt]
+                    if below:
+                        entries.append((below, last, path))
+            if done is None:
+                raise ValueError("no encoding: the ranks lack a byte or are no merges")
+            entries.append(done)
+            live = entries
+        out, path = [], live[-1][2]
+        while path is not None:
+            path, token = path
+            out.append(token)
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Tokens of one piece, a whole token of the vocabulary as itself."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self._states) > self.most_states:
+        if len(self._states) > self.most_states or len(self._met) > 8 * self.most_states:
             self._forget()
         out: list[int] = []
         state, moves = 0, self._moves
-        for byte in piece:
+        for k, byte in enumerate(piece):
             move = moves[state].get(byte)
             if move is None:
+                key = state << 8 | byte
+                if key not in self._met and len(piece) < 256:
+                    self._met.add(key)
+                    out += self._onward(state, piece[k:])
+                    return tuple(out)
                 move = self._move(state, byte)
             state, emitted = move
             if emitted:
@@ -235,24 +286,25 @@ class Codec:
     bounded whatever the texts hold.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 600_000):
         self.fst, self.cut, self.most_pieces = Transducer(ranks), regex.compile(pattern), most_pieces
         self._pieces: dict[str, tuple[int, ...]] = {}
-        self._bytes = [self.fst.bytes_of.get(k, b"") for k in range(max(ranks.values()) + 1)]
+        size = max(ranks.values()) + 1
+        self._bytes = [self.fst.bytes_of.get(k, b"") for k in range(size)]
+        self.decimal = [str(k) for k in range(size)]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for null or empty."""
-        known, ids = self._pieces, []
+        known = self._pieces
         if len(known) > self.most_pieces:
             known.clear()
-        for m in self.cut.findall(text or ""):
-            got = known.get(m)
-            if got is None:
-                got = self.fst.encode(m.encode("utf-8", "surrogatepass"))
-                if len(m) < 64:
-                    known[m] = got
-            ids += got
-        return ids
+        matches, long = self.cut.findall(text or ""), {}
+        for m in set(matches):
+            if m not in known:
+                (known if len(m) < 64 else long)[m] = self.fst.encode(m.encode("utf-8", "surrogatepass"))
+        if long:
+            known = ChainMap(long, known)
+        return list(chain.from_iterable(map(known.__getitem__, matches)))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids))
@@ -271,6 +323,18 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for reference cycles meanwhile: it would walk all states and pieces again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each worker process and vocabulary, so that what it has met serves later tasks."""
     if (path, pattern) not in _codecs:
@@ -284,7 +348,8 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @F.pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:
         c = codec(path, pattern)
-        return pd.Series([np.array(c.encode(t), np.int32) for t in texts])
+        with uncollected():
+            return pd.Series([np.array(c.encode(t), np.int32) for t in texts])
 
     return encoded(text)
 
@@ -300,6 +365,16 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     return decoded(ids)
 
 
+def digest(c: Codec, text: str | None) -> tuple[int, str, str]:
+    """Number of ids, digest of the ids in decimal, digest of the text they decode to."""
+    ids = c.encode(text)
+    said = " ".join(map(c.decimal.__getitem__, ids)).encode()
+    back = hashlib.sha256()
+    for part in c.decode(ids):
+        back.update(part.encode())
+    return len(ids), hashlib.sha256(said).hexdigest(), back.hexdigest()
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Each row of ``docs`` (doc_id, text): number of ids, digest of the ids, digest of what they decode to.
 
@@ -309,14 +384,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: pd.Series) -> pd.DataFrame:
         c = codec(path, pattern)
-        rows = []
-        for t in texts:
-            ids = c.encode(t)
-            said = " ".join(map(str, ids)).encode()
-            text = hashlib.sha256()
-            for part in c.decode(ids):
-                text.update(part.encode())
-            rows.append((len(ids), hashlib.sha256(said).hexdigest(), text.hexdigest()))
+        with uncollected():
+            rows = [digest(c, t) for t in texts]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", digests("text").alias("d")).select("doc_id", "d.*")
