@@ -52,3 +52,11 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_text_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['pathval.llm'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and set(e.oracle_sql()) < set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
