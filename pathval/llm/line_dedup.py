@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from pathval.llm.common import staged, whole_row
 
-#: Lines of a chunk, about, and the multiplier of the rolling hash over two lines.
-MEAN, STEP = 3, 31
+#: Lines of a chunk, about (short, since a repeated passage has a few lines), and the multiplier of the rolling hash over two lines.
+MEAN, STEP = 2, 31
 #: Ends a chunk inside a marked text; the first sign is doubled up with the third in texts that have it.
 ESCAPE, END, PLAIN = "\x01", "\x01\x02", "\x01\x03"
 

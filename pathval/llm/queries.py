@@ -90,7 +90,7 @@ WITH lines AS (
   FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k) WHERE text IS NOT NULL
 ), hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
 rolled AS (
-  SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 3 = 0 AS ends FROM hashed WINDOW w AS (PARTITION BY doc_id, text ORDER BY k)
+  SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 2 = 0 AS ends FROM hashed WINDOW w AS (PARTITION BY doc_id, text ORDER BY k)
 ), numbered AS (
   SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, text ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM rolled
 ), chunks AS (

@@ -197,9 +197,11 @@ def test_classes_equal_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect())) == brute_classes(rows)
 
 
-def test_tiles_lose_no_link(spark, monkeypatch):
-    rows = near_copies(7, groups=3, size=40)
-    monkeypatch.setattr(jaccard_join, "TILE", 9)
+@pytest.mark.parametrize("tile", [5, 9, 30])
+def test_slices_lose_no_link(spark, monkeypatch, tile):
+    rows = near_copies(tile, groups=3, size=40)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "ANCHORS", 2)
     monkeypatch.setattr(jaccard_join, "DEAL", 500)
     got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute_classes(rows)
@@ -254,7 +256,7 @@ def brute_chunks(text):
     for line in lines:
         out[-1].append(line)
         h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-        if (h + 31 * before) % 3 == 0:
+        if (h + 31 * before) % 2 == 0:
             out.append([])
         before = h
     return ["\n".join(c) for c in out if c]
