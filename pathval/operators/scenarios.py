@@ -24,8 +24,12 @@ from pathval.plans.program import PriceKey, Program, build
 from pathval.plans.unfold import Unfolder
 
 
-def contract(source: str, observation: dt.date, periodisation: str | None = None) -> Program:
-    return build(Unfolder(Parser().parse(source), observation).nodes(), observation, periodisation)
+def contract(source: str, observation: dt.date, periodisation: str | None = None, elements: Mapping | None = None) -> Program:
+    """A contract's schedule; ``elements`` are those of one's own, by name."""
+    found = dict(elements or {})
+    module = Parser({n: (e.least, e.most) for n, e in found.items()}).parse(source)
+    random = frozenset(n for n, e in found.items() if e.stochastic)
+    return build(Unfolder(module, observation, stochastic=random).nodes(), observation, periodisation)
 
 
 def products(xs: list[Column]) -> list[Column]:
@@ -33,9 +37,9 @@ def products(xs: list[Column]) -> list[Column]:
     return [F.lit(1.0), *xs, *(x * x for x in xs), *(xs[i] * xs[j] for i in range(len(xs)) for j in range(i + 1, len(xs)))]
 
 
-def value(paths: DataFrame, prices: Mapping[PriceKey, str], program: Program, rate: float = 0.0, factor: float = 0.01, double_sided: bool = True) -> DataFrame:
+def value(paths: DataFrame, prices: Mapping[PriceKey, str], program: Program, rate: float = 0.0, factor: float = 0.01, double_sided: bool = True, elements: Mapping | None = None) -> DataFrame:
     """``paths`` with ``v``, the contract's value, and ``v__<bump>`` for each bump that touches it."""
-    setting = Setting(rate, factor, double_sided)
+    setting = Setting(rate, factor, double_sided, {n: e.apply for n, e in (elements or {}).items()})
     missing = sorted(set(program.final_prices).union(*(c.prices for c in program.choices)) - set(prices))
     if missing:
         raise DslError("scenarios lack a price", repr(missing[0]))
@@ -43,7 +47,7 @@ def value(paths: DataFrame, prices: Mapping[PriceKey, str], program: Program, ra
     df, names = paths, list(paths.columns)
 
     def evaluator() -> Evaluator:
-        return Evaluator(program, Columns, lambda key: F.col(prices[key]), lambda n, b: held[n, b], rate, factor)
+        return Evaluator(program, Columns, lambda key: F.col(prices[key]), lambda n, b: held[n, b], rate, factor, setting.custom)
 
     column = lambda x: F.lit(float(x)) if isinstance(x, (int, float)) else x
     for level in range(1, max((c.level for c in program.choices), default=0) + 1):

@@ -496,6 +496,66 @@ def node_costs(spark, sf_dir):
     return quotes.graph_tables(spark, program)["graph_nodes"].select("node_id", "cost")
 
 
+@query(f"""SELECT * FROM (VALUES ('A', '{D1}', '{D2}'), ('A', '{D2}', '{D2}'), ('A', '{D1}', '{D1}'), ('B', '{D1}', '{D1}')) t(market, fixing_date, delivery_date)""")
+def price_requirements(spark, sf_dir):
+    """Prices that a choice between a forward and a spot price needs: regressors and deliveries too."""
+    source = f"Wait('{D1}', Choice(ForwardMarket('{D2}', 'A'), Market('B')))"
+    rows = quotes.graph_tables(spark, scenarios.contract(source, OBS, "monthly"))["price_requirements"]
+    return rows.select("market", F.col("fixing_date").cast("string").alias("fixing_date"), F.col("delivery_date").cast("string").alias("delivery_date"))
+
+
+@query("SELECT * FROM (VALUES ('gas storage', 92::BIGINT, 844::BIGINT, 468::BIGINT)) t(contract, nodes, double_sided, single_sided)")
+def evaluation_counts(spark, sf_dir):
+    """Nodes of a year of gas storage, and how often they are valued with monthly bumps."""
+    source = """
+from pathval.models.storage import GasStorage
+GasStorage(Date('2011-4-1'), Date('2012-4-1'), Market('GAS'), 0, 50000, TimeDelta('1m'))
+"""
+    p = scenarios.contract(source, OBS, "monthly")
+    return spark.createDataFrame([("gas storage", p.count, p.evaluations(), p.evaluations(False))], "contract string, nodes long, double_sided long, single_sided long")
+
+
+@query(HEDGES + " SELECT concat_ws('-', market_name, year(delivery_date)) AS perturbation_name, round(avg(delta), 6) AS delta FROM h GROUP BY 1")
+def delta_yearly(spark, sf_dir):
+    """Deltas by year of delivery."""
+    v, named, program = valued(spark, sf_dir, SPREAD, "yearly")
+    return scenarios.deltas(v, named, program, RATE, BUMP).groupBy("perturbation_name").agg(rounded(F.avg("delta")).alias("delta"))
+
+
+@query(HEDGES + " SELECT concat_ws('-', market_name, year(delivery_date), month(delivery_date), day(delivery_date)) AS perturbation_name, round(avg(-delta / df), 6) AS hedge_units FROM h GROUP BY 1")
+def delta_daily(spark, sf_dir):
+    """Hedges by day of delivery."""
+    v, named, program = valued(spark, sf_dir, SPREAD, "daily")
+    return scenarios.deltas(v, named, program, RATE, BUMP).groupBy("perturbation_name").agg(rounded(F.avg("hedge_units")).alias("hedge_units"))
+
+
+@query("SELECT l_orderkey, round(CASE WHEN l_extendedprice > 50000 THEN 50000 + (l_extendedprice - 50000) / 2 ELSE l_extendedprice END, 4) AS v FROM lineitem")
+def own_element(spark, sf_dir):
+    """An element of one's own, as columns."""
+    from pathval.api import Element
+
+    capped = Element(1, 1, lambda x: F.when(x > 50000, 50000 + (x - 50000) / 2).otherwise(x))
+    program = scenarios.contract("Capped(Market('P'))", OBS, elements={"Capped": capped})
+    df = scenarios.value(table(spark, sf_dir, "lineitem"), {("P", OBS, OBS): "l_extendedprice"}, program, elements={"Capped": capped})
+    return df.select("l_orderkey", rounded("v", 4).alias("v"))
+
+
+@query(f"WITH {DAILY} SELECT date::VARCHAR AS date, price FROM daily WHERE market = 'click'")
+def csv_text(spark, sf_dir):
+    """A series to CSV text and back."""
+    q = daily_quotes(spark, sf_dir).where("market = 'click'")
+    return quotes.from_csv_text(spark, quotes.to_csv_text(q)).withColumn("date", F.col("date").cast("string"))
+
+
+@query(f"WITH {PATHS} SELECT path_id, round(pa1, 6) AS near, round(pa2, 6) AS far FROM p")
+def scenario_table(spark, sf_dir):
+    """Simulated prices as rows, and back to a column a price."""
+    keys = [("A", D1, D1), ("A", D2, D2)]
+    df, named = simulated(spark, sf_dir, [(m, d, d) for m in "AB" for d in (D1, D2)])
+    back, cols = quotes.wide(quotes.tall(df, named), keys)
+    return back.select("path_id", rounded(cols[keys[0]]).alias("near"), rounded(cols[keys[1]]).alias("far"))
+
+
 # --- lattices on known prices ------------------------------------------------------------------------
 
 

@@ -220,6 +220,29 @@ def test_storage_and_power_plant_models(spark):
     assert gas.program.count == 92 and gas.program.evaluations() == 844
 
 
+class Doubling:
+    """A price process of one's own: prices double each year, on every path."""
+
+    def __init__(self, market, observation, keys, seed):
+        self.observation, self.keys = observation, keys
+
+    def scale(self, key):
+        return 2.0 ** (key[2].year - self.observation.year), 0.0
+
+    def chunk(self, number, size):
+        import numpy as np
+
+        return {k: np.full(size, self.scale(k)[0]) for k in self.keys}
+
+
+def test_own_price_process(run, monkeypatch):
+    from pathval import api
+
+    monkeypatch.setitem(api.PROCESSES, "doubling", Doubling)
+    r = run("Fixing('2013-1-1', Choice(Market('NBP') - 1, 0))", price_process=model() | {"name": "doubling"}, path_count=10)
+    assert r.fair_value_mean == 3
+
+
 # --- sources -------------------------------------------------------------------------------
 
 
