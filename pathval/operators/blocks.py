@@ -122,7 +122,7 @@ class BlockRunner:
     def run(self, finish: Callable[[dict, Evaluator, int, int], pd.DataFrame], schema: str, means: dict) -> DataFrame:
         """Rows that ``finish(held, evaluator, first path, size)`` makes of each finished block."""
         self.means = means
-        spark, first = self.spark, self.wanted(1)
+        spark = self.spark
         state, keys, fits = None, [], {}
         runner = self._remote()
 
@@ -133,7 +133,7 @@ class BlockRunner:
 
         source = spark.range(0, self.blocks, 1, min(self.parts, self.blocks))
         for level in range(1, self.depth + 1):
-            state, keys, fits = self._step(runner, source if state is None else state, start if level == 1 else None, level, keys, fits, first)
+            state, keys, fits = self._step(runner, source if state is None else state, start if level == 1 else None, level, keys, fits)
         last = runner
 
         def end(batches: Iterator[pd.DataFrame], keys=tuple(keys), fits=fits, depth=self.depth) -> Iterator[pd.DataFrame]:
@@ -145,7 +145,7 @@ class BlockRunner:
 
         return (source if state is None else state.select("block", "size", "data")).mapInPandas(end, schema)
 
-    def _step(self, runner: BlockRunner, before: DataFrame, start: Callable | None, level: int, keys: list, fits: dict, first: list) -> tuple:
+    def _step(self, runner: BlockRunner, before: DataFrame, start: Callable | None, level: int, keys: list, fits: dict) -> tuple:
         keep = runner.wanted(level)
         out_keys = keep + runner._targets(level)
 

@@ -58,6 +58,9 @@ class Expr:
             self._hash = hash((self.op, self.args))
         return self._hash
 
+    def __reduce__(self) -> tuple:
+        return _restored, (self.op, self.args, self.line)  # hashes differ between processes
+
     def __repr__(self) -> str:
         return source(self)
 
@@ -80,6 +83,10 @@ class Expr:
         return sum(COSTS.get(e.op, 1) for e in self.walk())
 
 
+def _restored(op: str, args: tuple, line: int | None) -> Expr:
+    return Expr(op, *args, line=line)
+
+
 def const(value: object, line: int | None = None) -> Expr:
     return Expr("Const", value, line=line)
 

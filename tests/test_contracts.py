@@ -120,6 +120,15 @@ def test_source_round_trip(text):
     assert Parser().parse(source(first)).expressions[0] == first
 
 
+def test_expressions_travel():
+    import pickle
+
+    e = Parser().parse("Wait('2011-1-1', Choice(Market('A') - 9, x))").expressions[0]
+    hash(e)
+    again = pickle.loads(pickle.dumps(e))
+    assert again == e and again._hash == e._hash and pickle.loads(pickle.dumps({e: 1}))[e] == 1
+
+
 FIB = "def fib(n): return fib(n - 1) + fib(n - 2) if n > 1 else n\n"
 
 
