@@ -29,7 +29,7 @@ class Settings:
 
     bits: int = 18
     order: int = 2
-    sample: int = 20_000
+    sample: int = 10_000
     epochs: int = 6
     rate: float = 4.0
     l1: float = 0.01
@@ -38,9 +38,20 @@ class Settings:
 
 def features(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The distinct coordinates of a text and their values; none for a text without words."""
+    at, n = counted(text, s)
+    return at, scaled(n)
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    x = counts.astype(np.float32)
+    return x / np.sqrt((x * x).sum()) if len(x) else x
+
+
+def counted(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct coordinates of a text and how often each occurs."""
     words = utf8(text).split()
     if not words:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     parts, gram = [h], h
     for n in range(2, s.order + 1):
@@ -49,19 +60,18 @@ def features(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     for gap in (1, 2):
         parts.append(np.full(np.count_nonzero(h[gap:] == h[:-gap]), gap, np.uint64))
     mixed = np.concatenate(parts) * np.uint64(0xD6E8FEB86659FD93)
-    at, counts = np.unique((mixed >> np.uint64(64 - s.bits)).astype(np.int32), return_counts=True)
-    x = counts.astype(np.float32)
-    return at, x / np.sqrt((x * x).sum())
+    at, n = np.unique((mixed >> np.uint64(64 - s.bits)).astype(np.int32), return_counts=True)
+    return at, n.astype(np.int32)
 
 
 def learned(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> np.ndarray:
-    """Weights and bias after ``s.epochs`` passes over the rows in their order."""
+    """Weights and bias after ``s.epochs`` passes over the rows (coordinates, counts, label) in their order."""
     model = Leader(1 << s.bits, 1, rate=s.rate, l1=s.l1, l2=s.l2)
     good = sum(int(label) for *_, label in rows)
     bias = np.log((good + 1) / (len(rows) - good + 1))
     for _ in range(s.epochs):
-        for at, x, label in rows:
-            model.learn(at, x, np.array([float(label)]), bias)
+        for at, n, label in rows:
+            model.learn(at, scaled(n), np.array([float(label)]), bias)
     return np.concatenate([model.weights()[:, 0], [bias]]).astype(np.float32)
 
 
@@ -73,18 +83,19 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """
 
     def hashed(texts: pd.Series) -> pd.DataFrame:
-        rows = [features(t, s) for t in texts]
-        return pd.DataFrame({"at": [r[0] for r in rows], "x": [r[1] for r in rows]})
+        rows = [counted(t, s) for t in texts]
+        return pd.DataFrame({"at": [at.tobytes() for at, _ in rows], "n": [n.tobytes() for _, n in rows]})
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("turn", kind="stable")
-        weights = learned(list(zip(rows["at"], rows["x"], rows["label"], strict=True)), s)
+        read = lambda x: np.frombuffer(x, np.int32)
+        weights = learned([(read(at), read(n), y) for at, n, y in zip(rows["at"], rows["n"], rows["label"], strict=True)], s)
         return pd.DataFrame({"weights": [weights.tobytes()]})
 
-    vectors = F.pandas_udf(hashed, "at array<int>, x array<float>")
+    vectors = F.pandas_udf(hashed, "at binary, n binary")
     found = (
         labelled.select(F.xxhash64("text", "label").alias("turn"), "label", vectors("text").alias("v"))
-        .select("turn", "label", "v.at", "v.x")
+        .select("turn", "label", "v.at", "v.n")
         .groupBy(F.lit(0).alias("all"))
         .applyInPandas(lambda rows: train(rows), "weights binary")
         .first()
