@@ -33,8 +33,8 @@ WORDS = 5
 GROUPS, FANOUT = 64, 32
 #: Members of a block that one task takes; larger blocks are cut into tiles.
 TILE = 20_000
-#: Shingles that one task of the deal takes, about.
-DEAL = 4_000_000
+#: Shingles that one task of the deal takes, about, and that are packed at once.
+DEAL, FLUSH = 1_000_000, 500_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -60,8 +60,8 @@ def nodes(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``node`` (null without words) of each row."""
 
     def named(texts: pd.Series) -> pd.DataFrame:
-        found = [shingles(t) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in found], "node": pd.array([digest(s) if len(s) else None for s in found], "Int64")})
+        found = [(len(s), digest(s) if len(s) else None) for s in map(shingles, texts)]
+        return pd.DataFrame({"n": [n for n, _ in found], "node": pd.array([d for _, d in found], "Int64")})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(named, "n long, node long")("text").alias("s")).select("doc_id", F.col("s.n").alias("n_shingles"), "s.node")
 
@@ -71,19 +71,21 @@ def shared(docs: DataFrame, total: int) -> DataFrame:
     parts = max(1, -(-total // DEAL), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if total > 1_000_000 else 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        size = 0
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-            size = 0
             for text in batch.column(0):
                 s = shingles(text.as_py())
                 if len(s):
                     sets[digest(s)] = s
                     size += len(s)
-                    if size > DEAL:
+                    if size > FLUSH:
                         yield packed(sets)
                         sets, size = {}, 0
-            if sets:
-                yield packed(sets)
+            del batch
+            pa.default_memory_pool().release_unused()
+        if sets:
+            yield packed(sets)
 
     def packed(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         """A row a target: hashes, the places of their nodes, and the nodes with their sizes."""
@@ -101,30 +103,39 @@ def shared(docs: DataFrame, total: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(5)], names=["part", "hashes", "places", "names", "sizes"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, owners, ns = [], [], []
+        values, owners, named, sized = [], [], [], []
         for batch in batches:
-            for _, hashes, places, names, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v, name, n = np.frombuffer(hashes, np.uint64), np.frombuffer(names, np.int64), np.frombuffer(sizes, np.int64)
-                place = np.frombuffer(places, np.uint16 if len(places) == 2 * len(v) else np.uint32)
-                values.append(v)
+            for k in range(batch.num_rows):
+                hashes, places, names, sizes = (batch.column(c)[k].as_buffer() for c in range(1, 5))
+                v, name = np.frombuffer(hashes, np.uint64), np.frombuffer(names, np.int64)
+                place = np.frombuffer(places, np.uint16 if places.size == 2 * len(v) else np.uint32)
+                values.append(v.copy())
                 owners.append(name[place])
-                ns.append(n[place])
+                named.append(name.copy())
+                sized.append(np.frombuffer(sizes, np.int64).copy())
+            del batch
+        pa.default_memory_pool().release_unused()
         if not values:
             return
         v = np.concatenate(values).view(np.int64)
         values.clear()
-        order = np.argsort(v, kind="stable")
-        v, o, n = v[order], np.concatenate(owners)[order], np.concatenate(ns)[order]
+        order = np.argsort(v)
+        v = v[order]
+        o = np.concatenate(owners)[order]
+        owners.clear()
+        del order
         again = np.zeros(len(v), bool)
         same = v[1:] == v[:-1]
         again[1:] |= same
         again[:-1] |= same
-        v, o, n = v[again], o[again], n[again]
+        v, o = v[again], o[again]
         order = np.lexsort((o, v))
-        v, o, n = v[order], o[order], n[order]
+        v, o = v[order], o[order]
         keep = np.ones(len(v), bool)  # a node that came in several parts
         keep[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
-        v, o, n = v[keep], o[keep], n[keep]
+        v, o = v[keep], o[keep]
+        name, first = np.unique(np.concatenate(named), return_index=True)
+        n = np.concatenate(sized)[first][np.searchsorted(name, o)]
         begins = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
         count = np.diff(np.concatenate([begins, [len(v)]]))
         held = np.repeat(count, count)
@@ -183,10 +194,11 @@ class Tree:
                     left.append((depth - 1, np.arange(g * FANOUT, min((g + 1) * FANOUT, len(self.levels[depth - 1][0])))))
 
 
-def linked(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+def linked(sizes: np.ndarray, sets: list[np.ndarray], known: np.ndarray | None = None, asked: np.ndarray | None = None) -> np.ndarray:
     """For each member of a block the least member that links connect it with.
 
-    ``sets`` hold what may be shared, ``sizes`` count whole sets.
+    ``sets`` hold what may be shared, ``sizes`` count whole sets.  Members of equal ``known``
+    are connected already; if ``asked`` is given, only pairs with one of these are looked at.
     """
     m = len(sets)
     lengths = np.array([len(s) for s in sets])
@@ -201,10 +213,15 @@ def linked(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         np.bitwise_or.at(bits, row * width + column // 64, np.uint64(1) << (column % 64).astype(np.uint64))
         bits = bits.reshape(m, width)
     tree, label = Tree(points, sizes), np.arange(m)
-    for x in range(1, m):
+    if known is not None:
+        _, first, group = np.unique(known, return_index=True, return_inverse=True)
+        label = first[group]
+    for x in range(m) if asked is None else np.flatnonzero(asked):
         for leaf in tree.search(points[x], int(sizes[x])):
+            if asked is None:
+                leaf = leaf[leaf < x]
             while True:
-                leaf = leaf[(leaf < x) & (label[leaf] != label[x])]
+                leaf = leaf[label[leaf] != label[x]]
                 if not len(leaf):
                     break
                 part = leaf[:64]
@@ -229,20 +246,52 @@ def links(found: DataFrame) -> DataFrame:
     met = sets.select("node", F.explode("keys").alias("key"))
     least = met.groupBy("key").agg(F.min("node").alias("block"), F.count("*").alias("c")).where("c > 1").select("key", "block")
     member = staged(met.join(least, "key").select("block", "node").distinct())
-    tiles = member.groupBy("block").agg(F.count("*").alias("members")).where("members > 1").select("block", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    placed = member.join(tiles, "block").withColumn("mine", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    # a tile for each pair of slices; a block of one slice has one tile
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    placed = placed.select("block", "node", "mine", other).select("block", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    slices = F.ceil(F.count("*") / TILE).cast("int").alias("slices")
+    blocks = member.groupBy("block").agg(F.count("*").alias("members"), slices).where("members > 1").select("block", "slices")
+    placed = member.join(blocks, "block").withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int"))
+    bare = sets.select("node", "n", "shared")
+    found = compared(placed.select("block", "slice", "node", "slices"), bare, anchors=True)
+    large = placed.where("slices > 1")
+    if large.isEmpty():
+        return found
+    # a large block: what its slices and their common anchors leave apart meets every slice
+    found = staged(found)
+    group = components(found)
+    large = staged(large.join(group, "node", "left").withColumn("label", F.coalesce("least", "node")).select("block", "slice", "node", "slices", "label"))
+    main = large.groupBy("block", "label").count().groupBy("block").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    apart = large.join(main, "block").where("label <> main").select("block", "node", "slices", "label")
+    chunk = F.pmod(F.xxhash64("node", F.lit(1)), "chunks").cast("int").alias("chunk")
+    chunks = apart.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
+    chunked = apart.join(chunks, "block").select("block", "node", "slices", "label", chunk)
+    every = large.join(chunks, "block").select("block", "slice", "node", "label", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asked"))
+    spread = chunked.select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "node", "label", "chunk", F.lit(True).alias("asked"))
+    tiles = every.unionByName(spread).groupBy("block", "slice", "chunk", "node").agg(F.first("label").alias("label"), F.max("asked").alias("asked"))
+    return found.unionByName(compared(tiles, bare, ["block", "slice", "chunk"]))
+
+
+#: Members of a large block that stand in each of its slices.
+ANCHORS = 32
+
+
+def compared(placed: DataFrame, sets: DataFrame, by: list[str] | None = None, anchors: bool = False) -> DataFrame:
+    """Links within each tile of ``placed``; with ``anchors`` the same few members join all slices of a block."""
+    by = by or ["block", "slice"]
+    if anchors:
+        turn = F.xxhash64("node", F.lit(2))
+        few = placed.where((F.col("slices") > 1) & (F.pmod(turn, F.col("slices") * (TILE // ANCHORS or 1)) == 0))
+        few = few.select("block", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "node")
+        placed = placed.select("block", "slice", "node").unionByName(few).distinct()
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", kind="stable")
         names = rows["node"].to_numpy(np.int64)
-        label = linked(rows["n"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in rows["shared"]])
+        known = rows["label"].to_numpy(np.int64) if "label" in rows else None
+        asked = rows["asked"].to_numpy(bool) if "asked" in rows else None
+        label = linked(rows["n"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in rows["shared"]], known, asked)
         use = label != np.arange(len(label))
         return pd.DataFrame({"a": names[label[use]], "b": names[use]})
 
-    return placed.join(sets.select("node", "n", "shared"), "node").groupBy("block", "i", "j").applyInPandas(lambda rows: compare(rows), "a long, b long")
+    return placed.join(sets, "node").groupBy(*by).applyInPandas(lambda rows: compare(rows), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
