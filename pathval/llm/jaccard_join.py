@@ -33,8 +33,11 @@ WORDS = 5
 GROUPS, FANOUT = 64, 32
 #: Members of a block that one task takes; larger blocks are cut into tiles.
 TILE = 20_000
-#: Shingles that one task of the deal takes, about, and that are packed at once.
-DEAL, FLUSH = 1_000_000, 500_000
+#: Shingles that one task of the deal takes, about, and that are packed at once.  A larger DEAL, where
+#: executors have the memory, means fewer targets and fewer bytes for the names of nodes.
+DEAL, FLUSH = 4_000_000, 500_000
+#: Bytes of a hash that are sent; the target it is dealt to tells more of it.
+SENT = 5
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -67,8 +70,11 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def shared(docs: DataFrame, total: int) -> DataFrame:
-    """``node``, ``n``, ``shingle``, ``held``: shingles that ``held`` >= 2 nodes have, for each of them."""
-    parts = max(1, -(-total // DEAL), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if total > 1_000_000 else 1)
+    """``node``, ``shingle``, ``held``: shingles that ``held`` >= 2 nodes have, for each of them.
+
+    A shingle is told by 40 bits of its hash and the target that its upper half deals it to.
+    """
+    parts = max(1, -(-total // DEAL), docs.sparkSession.sparkContext.defaultParallelism if total > 1_000_000 else 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -88,9 +94,9 @@ def shared(docs: DataFrame, total: int) -> DataFrame:
             yield packed(sets)
 
     def packed(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
-        """A row a target: hashes, the places of their nodes, and the nodes with their sizes."""
+        """A row a target: hashes by node, the nodes, and how many hashes each has."""
         names, sizes = np.fromiter(sets, np.int64), np.array([len(s) for s in sets.values()], np.int64)
-        values, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(names), dtype=np.uint32), sizes)
+        values, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(names)), sizes)
         target = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # by the upper half
         order = np.argsort(target, kind="stable")
         cuts = np.searchsorted(target[order], np.arange(parts + 1))
@@ -98,26 +104,27 @@ def shared(docs: DataFrame, total: int) -> DataFrame:
         for p in range(parts):
             mine = order[cuts[p] : cuts[p + 1]]
             if len(mine):
-                there, place = np.unique(owner[mine], return_inverse=True)
-                rows.append((p, values[mine].tobytes(), place.astype(np.uint16 if len(there) <= 65536 else np.uint32).tobytes(), names[there].tobytes(), sizes[there].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(5)], names=["part", "hashes", "places", "names", "sizes"])
+                there, count = np.unique(owner[mine], return_counts=True)
+                low = values[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]
+                rows.append((p, low.tobytes(), names[there].tobytes(), count.astype(np.uint32).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(4)], names=["part", "hashes", "names", "counts"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, owners, named, sized = [], [], [], []
+        values, owners, named, nodes_seen = [], [], [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                hashes, places, names, sizes = (batch.column(c)[k].as_buffer() for c in range(1, 5))
-                v, name = np.frombuffer(hashes, np.uint64), np.frombuffer(names, np.int64)
-                place = np.frombuffer(places, np.uint16 if places.size == 2 * len(v) else np.uint32)
-                values.append(v.copy())
-                owners.append(name[place])
-                named.append(name.copy())
-                sized.append(np.frombuffer(sizes, np.int64).copy())
+                hashes, names, counts = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((1, np.uint8), (2, np.int64), (3, np.uint32)))
+                low = np.zeros((len(hashes) // SENT, 8), np.uint8)
+                low[:, :SENT] = hashes.reshape(-1, SENT)
+                values.append(low.view("<i8")[:, 0] | (batch.column(0)[k].as_py() << 8 * SENT))
+                owners.append(np.repeat(np.arange(nodes_seen, nodes_seen + len(names), dtype=np.int32), counts))
+                named.append(names.copy())
+                nodes_seen += len(names)
             del batch
         pa.default_memory_pool().release_unused()
         if not values:
             return
-        v = np.concatenate(values).view(np.int64)
+        v = np.concatenate(values)
         values.clear()
         order = np.argsort(v)
         v = v[order]
@@ -128,24 +135,22 @@ def shared(docs: DataFrame, total: int) -> DataFrame:
         same = v[1:] == v[:-1]
         again[1:] |= same
         again[:-1] |= same
-        v, o = v[again], o[again]
+        v, o = v[again], np.concatenate(named)[o[again]]
         order = np.lexsort((o, v))
         v, o = v[order], o[order]
         keep = np.ones(len(v), bool)  # a node that came in several parts
         keep[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
         v, o = v[keep], o[keep]
-        name, first = np.unique(np.concatenate(named), return_index=True)
-        n = np.concatenate(sized)[first][np.searchsorted(name, o)]
         begins = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.empty(0, np.int64)
         count = np.diff(np.concatenate([begins, [len(v)]]))
         held = np.repeat(count, count)
         use = held > 1
         for k in range(0, int(use.sum()), 100_000):
-            cols = [x[use][k : k + 100_000] for x in (o, n, v, held.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "n", "shingle", "held"])
+            cols = [x[use][k : k + 100_000] for x in (o, v, held.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "shingle", "held"])
 
-    blobs = docs.select("text").mapInArrow(deal, "part int, hashes binary, places binary, names binary, sizes binary")
-    return blobs.repartition(parts, "part").mapInArrow(met, "node long, n long, shingle long, held long")
+    blobs = docs.select("text").mapInArrow(deal, "part int, hashes binary, names binary, counts binary")
+    return blobs.repartition(parts, "part").mapInArrow(met, "node long, shingle long, held long")
 
 
 class Tree:
@@ -237,10 +242,14 @@ def linked(sizes: np.ndarray, sets: list[np.ndarray], known: np.ndarray | None =
     return label
 
 
-def links(found: DataFrame) -> DataFrame:
-    """``a``, ``b``: links between nodes that, with what they imply, are all there are."""
+def links(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``a``, ``b``: links between nodes that, with what they imply, are all there are.
+
+    ``sizes`` has ``n`` for each ``node`` of ``found``, the size of its whole set.
+    """
     by = F.sort_array(F.collect_list(F.struct("held", "shingle")))
-    sets = found.groupBy("node").agg(F.first("n").alias("n"), by.alias("s"))
+    # dealt as plain rows: partial lists would be larger than what they list
+    sets = found.repartition("node").groupBy("node").agg(by.alias("s")).join(sizes, "node")
     keys = F.expr("slice(s, 1, cast(greatest(0L, floor(n / 4) + 1 - (n - size(s))) as int))")
     sets = staged(sets.select("node", "n", F.col("s.shingle").alias("shared"), F.transform(keys, lambda k: k.shingle).alias("keys")))
     met = sets.select("node", F.explode("keys").alias("key"))
@@ -322,7 +331,8 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select("doc_id", "text")
     named = staged(nodes(docs))
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    group = components(links(shared(docs, total)))
+    sizes = named.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"))
+    group = components(links(shared(docs, total), sizes))
     placed = named.where("node is not null").join(group, "node", "left").withColumn("least", F.coalesce("least", "node"))
     return staged(placed.select("doc_id", "n_shingles", "node", "least")), named.where("node is null")
 
