@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BINS = 64
@@ -113,6 +113,16 @@ def both(text: str, other: str, bins: int = BINS) -> tuple[np.ndarray, np.ndarra
     return own, signature(shared + rest, bins), edited
 
 
+def keys_of(spark: SparkSession, number: int) -> np.ndarray:
+    """For each of ``number`` partitions a key that hashing deals to it, so that none gets two."""
+    ids = spark.range(0, 32 * number)
+    found = ids.groupBy(F.pmod(F.hash("id"), F.lit(number)).alias("part")).agg(F.min("id").alias("key")).collect()
+    keys = np.arange(number, dtype=np.int64)
+    for r in found:
+        keys[r["part"]] = r["key"]
+    return keys
+
+
 def fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness.
 
@@ -128,23 +138,25 @@ def fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
     parts = max(1, -(-count // ROWS_A_PARTITION))
     found = docs.agg(F.percentile_approx(order, [k / parts for k in range(parts)] or [0.0], 10_000)).first()[0] if count else []
     starts = sorted({least, *(found or [])} if count else set())
-    sent = docs.sparkSession.sparkContext.broadcast(np.array(starts, np.int64))
+    number = max(1, len(starts))
+    sent = docs.sparkSession.sparkContext.broadcast((np.array(starts, np.int64), keys_of(docs.sparkSession, number)))
 
-    @F.pandas_udf("part long, first boolean")
+    @F.pandas_udf("part long, key long, before long, before_key long, first boolean")
     def place(ids: pd.Series) -> pd.DataFrame:
+        begins, keys = sent.value
         values = ids.to_numpy(np.int64)
-        part = np.searchsorted(sent.value, values, side="right") - 1
-        return pd.DataFrame({"part": part, "first": sent.value[part] == values})
+        part = np.searchsorted(begins, values, side="right") - 1
+        before = (part - 1) % len(keys)
+        return pd.DataFrame({"part": part, "key": keys[part], "before": before, "before_key": keys[before], "first": begins[part] == values})
 
-    number = max(1, len(starts))
     keyed = slim.withColumn("pv_order", order).withColumn("pv_at", place("pv_order"))
-    part, first = F.col("pv_at.part"), F.col("pv_at.first")
     # the rows of a partition's first id also go to the partition before, behind its own rows
-    own_copy = F.struct(part.alias("part"), F.lit(0).alias("late"))
-    early_copy = F.struct(F.pmod(part - 1, F.lit(number)).alias("part"), F.lit(1).alias("late"))
-    copies = F.when(first, F.array(own_copy, early_copy)).otherwise(F.array(own_copy))
-    dealt = keyed.withColumn("pv_copy", F.explode(copies)).select("doc_id", "text", "pv_order", "pv_copy.part", "pv_copy.late")
-    dealt = dealt.repartition(number, "part").sortWithinPartitions("part", "late", "pv_order", "text")
+    at = F.col("pv_at")
+    own_copy = F.struct(at["part"].alias("part"), at["key"].alias("key"), F.lit(0).alias("late"))
+    early_copy = F.struct(at["before"].alias("part"), at["before_key"].alias("key"), F.lit(1).alias("late"))
+    copies = F.when(at["first"], F.array(own_copy, early_copy)).otherwise(F.array(own_copy))
+    dealt = keyed.withColumn("pv_copy", F.explode(copies)).select("doc_id", "text", "pv_order", "pv_copy.part", "pv_copy.key", "pv_copy.late")
+    dealt = dealt.repartition(number, "key").sortWithinPartitions("part", "late", "pv_order", "text")
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         """Each row's id and text, the next row's text, and whether that is of the next partition."""
