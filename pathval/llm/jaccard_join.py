@@ -36,6 +36,8 @@ TILE = 20_000
 #: Shingles that one task of the deal takes, about, and that are packed at once.  A larger DEAL, where
 #: executors have the memory, means fewer targets and fewer bytes for the names of nodes.
 DEAL, FLUSH = 4_000_000, 500_000
+#: Shingles that a task of the deal sorts at once; the rest waits as it was sent.
+SORTED = 1_000_000
 #: Bytes of a hash that are sent; the target it is dealt to tells more of it.
 SENT = 5
 
@@ -110,32 +112,34 @@ def shared(docs: DataFrame, total: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(4)], names=["part", "hashes", "names", "counts"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, owners, named, nodes_seen = [], [], [], 0
+        held, total = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                hashes, names, counts = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in ((1, np.uint8), (2, np.int64), (3, np.uint32)))
-                low = np.zeros((len(hashes) // SENT, 8), np.uint8)
-                low[:, :SENT] = hashes.reshape(-1, SENT)
-                values.append(low.view("<i8")[:, 0] | (batch.column(0)[k].as_py() << 8 * SENT))
-                owners.append(np.repeat(np.arange(nodes_seen, nodes_seen + len(names), dtype=np.int32), counts))
-                named.append(names.copy())
-                nodes_seen += len(names)
+                hashes, names, counts = (np.frombuffer(batch.column(c)[k].as_buffer(), t).copy() for c, t in ((1, np.uint8), (2, np.int64), (3, np.uint32)))
+                held.append((batch.column(0)[k].as_py(), hashes.reshape(-1, SENT), names, counts))
+                total += len(hashes) // SENT
             del batch
         pa.default_memory_pool().release_unused()
-        if not values:
-            return
-        v = np.concatenate(values)
-        values.clear()
+        rounds = min(256, -(-total // SORTED))
+        for turn in range(rounds):  # a range of the highest byte sent
+            values, owners = [], []
+            for part, hashes, names, counts in held:
+                mine = np.flatnonzero((hashes[:, SENT - 1].astype(np.int32) * rounds) >> 8 == turn)
+                low = np.zeros((len(mine), 8), np.uint8)
+                low[:, :SENT] = hashes[mine]
+                values.append(low.view("<i8")[:, 0] | (part << 8 * SENT))
+                owners.append(names[np.searchsorted(np.cumsum(counts), mine, side="right")])
+            yield from common(np.concatenate(values), np.concatenate(owners))
+
+    def common(v: np.ndarray, o: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Those of the shingles ``v`` of the nodes ``o`` that several nodes have."""
         order = np.argsort(v)
-        v = v[order]
-        o = np.concatenate(owners)[order]
-        owners.clear()
-        del order
+        v, o = v[order], o[order]
         again = np.zeros(len(v), bool)
         same = v[1:] == v[:-1]
         again[1:] |= same
         again[:-1] |= same
-        v, o = v[again], np.concatenate(named)[o[again]]
+        v, o = v[again], o[again]
         order = np.lexsort((o, v))
         v, o = v[order], o[order]
         keep = np.ones(len(v), bool)  # a node that came in several parts
@@ -145,9 +149,10 @@ def shared(docs: DataFrame, total: int) -> DataFrame:
         count = np.diff(np.concatenate([begins, [len(v)]]))
         held = np.repeat(count, count)
         use = held > 1
-        for k in range(0, int(use.sum()), 100_000):
-            cols = [x[use][k : k + 100_000] for x in (o, v, held.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "shingle", "held"])
+        v, o, held = v[use], o[use], held[use].astype(np.int64)
+        for k in range(0, len(v), 100_000):
+            cols = [pa.array(x[k : k + 100_000]) for x in (o, v, held)]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "shingle", "held"])
 
     blobs = docs.select("text").mapInArrow(deal, "part int, hashes binary, names binary, counts binary")
     return blobs.repartition(parts, "part").mapInArrow(met, "node long, shingle long, held long")

@@ -202,6 +202,7 @@ def test_slices_lose_no_link(spark, monkeypatch, tile):
     rows = near_copies(tile, groups=3, size=40)
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     monkeypatch.setattr(jaccard_join, "ANCHORS", 2)
+    monkeypatch.setattr(jaccard_join, "SORTED", 300)
     monkeypatch.setattr(jaccard_join, "DEAL", 500)
     got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute_classes(rows)
