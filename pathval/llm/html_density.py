@@ -6,7 +6,7 @@ out.  Every remaining node gets its link-adjusted characters per tag, and the su
 densities of its child blocks (elements within a line belong to their block).  The node of
 the largest sum is the text, with the article around it if there is one; the least density
 between it and the body is the threshold by which other parts beside that path join or link
-lists inside are dropped.
+lists inside are dropped.  Bare text of the nodes on that path joins unless half of it is links.
 """
 
 from __future__ import annotations
@@ -72,6 +72,8 @@ NAMES = frozenset(
     "share sharing social related recommended recommendations trending popular taboola outbrain form search".split()
 )
 REMARKS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+#: Stands for a run of bare text beside blocks.
+LINE = "#line"
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -231,6 +233,32 @@ def weigh(root: Node) -> None:
             node.total = sum(c.density if c.tag in BLOCK else c.total for c in node.children if isinstance(c, Node))
 
 
+def _units(node: Node, on: set[int]) -> list[Node]:
+    """The node's child elements, each run of bare text and the elements within its line as one ``LINE``."""
+    units: list[Node] = []
+    run: list[Node | str] = []
+
+    def close() -> None:
+        if not any(isinstance(c, str) and c.strip() for c in run):
+            units.extend(c for c in run if isinstance(c, Node))
+        else:
+            line = Node(LINE, "", node)
+            line.children = list(run)
+            line.chars = sum(len("".join(c.split())) if isinstance(c, str) else c.chars for c in run)
+            line.link_chars = sum(c.link_chars for c in run if isinstance(c, Node))
+            units.append(line)
+        run.clear()
+
+    for c in node.children:
+        if isinstance(c, str) or id(c) not in on and all(n.tag not in BLOCK and n.tag not in ("td", "th") for n in preorder(c)):
+            run.append(c)
+        else:
+            close()
+            units.append(c)
+    close()
+    return units
+
+
 def chosen(root: Node) -> tuple[list[Node], float]:
     """The text's subtrees in page order, and the threshold of the path to the body."""
     nodes = list(preorder(root))
@@ -243,15 +271,14 @@ def chosen(root: Node) -> tuple[list[Node], float]:
     around = next((k for k, n in enumerate(path) if n.tag in ("article", "main")), 0)
     best, path = path[around], path[around:]
     found, on = [], {id(n) for n in path}
-    alone = 2 * best.chars >= body.chars
     left = [body]
     while left:
         node = left.pop()
         if node is best or node.tag == "h1" and node.chars:
             found.append(node)
         elif id(node) in on:
-            left += [c for c in reversed(node.children) if isinstance(c, Node)]
-        elif not alone and node.chars and node.density >= threshold and 2 * node.link_chars < node.chars:
+            left += reversed(_units(node, on))
+        elif (node.tag == LINE or node.density >= threshold) and 2 * node.link_chars < node.chars:
             found.append(node)
     return found, threshold
 

@@ -177,6 +177,23 @@ def test_menus_of_links_are_left_out_unnamed():
     assert text.startswith("Title\nParagraph number 0") and text.endswith("as articles do.")
 
 
+def paragraphs(name, n):
+    return [f"{name}{k} " + "words " * 99 + "end." for k in range(n)]
+
+
+def test_articles_in_two_unnamed_containers_stay_whole():
+    a, b = paragraphs("A", 6), paragraphs("B", 5)
+    first, second = ("<div>" + "".join(f"<p>{x}</p>" for x in part) + "</div>" for part in (a, b))
+    assert html_density.extract(f"<body><div>{first}{second}</div></body>") == "\n".join(a + b)
+
+
+def test_bare_text_beside_the_best_block_stays():
+    a = paragraphs("A", 6)
+    inner = "<div>" + "".join(f"<p>{x}</p>" for x in a) + "</div>"
+    page = f"<body><div>Bare <i>words</i> first.<br>Then more.{inner}A last line.</div><a href=/>Home</a> | <a href=/b>About us</a></body>"
+    assert html_density.extract(page) == "\n".join(["Bare words first. Then more.", *a, "A last line."])
+
+
 def test_deep_pages():
     assert html_density.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
