@@ -4,9 +4,10 @@ Texts become ids, ids become pieces of at most a sequence's length, and pieces a
 best-fit decreasing in partitions of bounded size, dealt by a hash.  Dual feasible functions
 give each partition a lower bound on its number of sequences; one that meets its bound is
 certified.  Then neighbouring partitions are taken together: where their sequences are more
-than the bound of all their pieces, they put their loosest sequences into a common pool,
-which is packed anew.  Pools grow from round to round by the same factor in partitions, not
-in rows, until one spans them all.
+than the bound of all their pieces, their loosest sequences are packed anew, then the next
+ones, until the bound is met or all that have space were tried.  Pools grow from round to
+round by the same factor in partitions, not in the rows packed at once, until one spans them
+all; no sequence with space is closed before.
 """
 
 from __future__ import annotations
@@ -110,15 +111,15 @@ def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(pieces, schema)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Fewest sequences that the lengths can need, by the best of a family of dual feasible functions.
+def lower_bound(lengths: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Fewest sequences that the lengths (each so many ``times``) can need, by the best of a family of dual feasible functions.
 
     One kind rounds a length near the capacity up to it and drops those too short to matter;
     the other (Fekete and Schepers) rounds to multiples of a k-th of the capacity.
     """
     if not len(lengths):
         return 0
-    held = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    held = np.bincount(lengths, weights=times, minlength=capacity + 1).astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     weight = np.concatenate([[0], np.cumsum(held * x)])
     count = np.concatenate([[0], np.cumsum(held)])
@@ -164,59 +165,63 @@ def pack(pieces: DataFrame, capacity: int = 2048, rows: int = 50_000, pool: int
     """``pieces`` (any columns, ``length`` from 1 to capacity) with ``sequence_id`` and ``offset``.
 
     ``rows`` is the size of a partition, ``pool`` how many are taken together in a round, and
-    ``released`` the rows each gives to the pool at most, from its loosest sequences; others
-    stay as they are packed.  A piece's partition follows from a hash of its columns and, for
-    equal rows, from chance, so that a hot document spreads.  No pieces give no rows.
+    ``released`` the rows that a pool packs anew for each member at first, from its loosest
+    sequences; while its bound is not met it goes on with twice as many, up to ``rows`` at
+    once.  A piece's partition follows from a hash of its columns and, for equal rows, from
+    chance, so that a hot document spreads.  No pieces give no rows.
     """
     carried = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    schema += ", pv_group long, pv_bin long, pv_offset long, pv_loose boolean, pv_bins long, pv_bound long"
+    schema += ", pv_part long, pv_seq long, pv_offset long, pv_free long, pv_tried long"
 
-    def packed(group: tuple, rows: pd.DataFrame, first: bool) -> pd.DataFrame:
+    def packed(group: tuple, rows: pd.DataFrame, turn: int, width: int) -> pd.DataFrame:
         lengths = rows["length"].to_numpy(np.int64)
         bins, offsets, opened = best_fit(lengths, capacity)
-        if not first:  # keep the packing that was there unless this one is shorter
-            old = rows["pv_group"].to_numpy(np.int64) * (1 << 24) + rows["pv_bin"].to_numpy(np.int64)
-            _, old = np.unique(old, return_inverse=True)
-            if old.max() + 1 <= opened:
-                bins, offsets, opened = old, rows["pv_offset"].to_numpy(np.int64), int(old.max()) + 1
+        out = rows[[*carried, "pv_part"]].copy()
+        if turn and rows["pv_seq"].nunique() <= opened:  # keep the packing that was there unless this one is shorter
+            out["pv_seq"], out["pv_offset"], out["pv_free"], out["pv_tried"] = rows["pv_seq"], rows["pv_offset"], rows["pv_free"], width
+            return out
         free = capacity - np.bincount(bins, weights=lengths, minlength=opened).astype(np.int64)
-        by = np.argsort(-free, kind="stable")
-        number = np.cumsum(np.bincount(bins, minlength=opened)[by])
-        loose = np.zeros(opened, bool)
-        loose[by] = (number <= released) & (free[by] > 0)
-        out = rows[carried].copy()
-        out["pv_group"], out["pv_bin"], out["pv_offset"], out["pv_loose"] = int(group[0]), bins, offsets, loose[bins]
-        out["pv_bins"], out["pv_bound"] = opened, lower_bound(lengths, capacity)
+        out["pv_seq"], out["pv_offset"], out["pv_free"], out["pv_tried"] = (turn * parts + int(group[0])) * (1 << 24) + bins, offsets, free[bins], 0
         return out
 
+    def asked(group: tuple, found: pd.DataFrame, most: int) -> pd.DataFrame:
+        """Of a pool above its bound: the space from which sequences are released, and the share of those with just that."""
+        held, space = found[found["x"] > 0], found[found["x"] < 0].sort_values("x")
+        gap = int(held["heads"].sum()) > lower_bound(held["x"].to_numpy(np.int64), capacity, held["n"].to_numpy(np.int64))
+        if not gap or space.empty:
+            return pd.DataFrame({"pv_pool": [], "pv_from": [], "pv_share": []})
+        total = space["n"].cumsum().to_numpy()
+        at = min(int(np.searchsorted(total, most)), len(space) - 1)
+        share = min(1.0, (most - (total[at - 1] if at else 0)) / int(space["n"].iloc[at]))
+        return pd.DataFrame({"pv_pool": [int(group[0])], "pv_from": [-int(space["x"].iloc[at])], "pv_share": [share]})
+
     total = pieces.count()
     parts = max(1, -(-total // rows))
     hashed = F.pmod(F.xxhash64(*[c for c in carried if c != "ids"], F.monotonically_increasing_id() % 64), F.lit(parts))
-    now = pieces.withColumn("pv_part", hashed).groupBy("pv_part").applyInPandas(lambda g, r: packed(g, r, True), schema)
-    done, turn, width = [], 0, parts
-    while True:
-        now = staged(now)
-        last = width == 1
-        width = -(-width // pool)
-        # a pool exchanges only if its members' sequences exceed the bound of their lengths together
-        together = F.floor(F.col("pv_group") / pool)
-        state = now.groupBy("pv_group").agg(F.max("pv_bins").alias("bins"), F.sum("length").alias("tokens"), F.max("pv_bound").alias("bound"))
-        state = state.groupBy(together.alias("pv_pool")).agg(F.sum("bins").alias("bins"), F.max("bound").alias("most"), F.ceil(F.sum("tokens") / capacity).alias("bound"), F.count("*").alias("members"))
-        gaps = state.where((F.col("bins") > F.greatest("bound", "most")) & (F.col("members") > 1)).select("pv_pool", F.lit(True).alias("pv_gap"))
-        tagged = now.withColumn("pv_pool", together).join(gaps, "pv_pool", "left") if not last else now.withColumn("pv_gap", F.lit(None).cast("boolean"))
-        open_rows = F.coalesce("pv_gap", F.lit(False)) & F.col("pv_loose")
-        number = ((F.lit(turn).cast("long") * parts + F.col("pv_group")) * (1 << 24) + F.col("pv_bin")).alias("sequence_id")
-        done.append(tagged.where(~open_rows).select(*carried, number, F.col("pv_offset").alias("offset")))
-        if last:
-            break
-        again = tagged.where(open_rows)
-        now = again.groupBy("pv_pool").applyInPandas(lambda g, r: packed(g, r, False), schema)
-        turn += 1
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
-    return result
+    now = staged(pieces.withColumn("pv_part", hashed).groupBy("pv_part").applyInPandas(lambda g, r: packed(g, r, 0, 0), schema))
+    turn, width = 0, 1
+    while width < parts:
+        before, width, most = width, width * pool, released * pool
+        of_one = (-(-parts // before) - 1) // pool if (-(-parts // before)) % pool == 1 else -1  # the pool of a single member waits
+        while True:
+            pooled = now.withColumn("pv_pool", F.floor(F.col("pv_part") / width)).where(F.col("pv_pool") != of_one)
+            held = pooled.groupBy("pv_pool", F.col("length").cast("long").alias("x")).agg(F.count("*").alias("n"), F.sum((F.col("pv_offset") == 0).cast("long")).alias("heads"))
+            untried = pooled.where((F.col("pv_free") > 0) & (F.col("pv_tried") != width))
+            space = untried.groupBy("pv_pool", (-F.col("pv_free")).alias("x")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("heads"))
+            gaps = held.unionByName(space).groupBy("pv_pool").applyInPandas(lambda g, r: asked(g, r, most), "pv_pool long, pv_from long, pv_share double").collect()
+            if not gaps:
+                break
+            turn += 1
+            chosen = now.sparkSession.createDataFrame(gaps, "pv_pool long, pv_from long, pv_share double")
+            tagged = now.withColumn("pv_pool", F.floor(F.col("pv_part") / width)).join(F.broadcast(chosen), "pv_pool", "left")
+            chance = F.pmod(F.xxhash64("pv_seq", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)
+            wanted = (F.col("pv_free") > F.col("pv_from")) | (F.col("pv_free") == F.col("pv_from")) & (chance < F.col("pv_share"))
+            again = F.coalesce(wanted & (F.col("pv_free") > 0) & (F.col("pv_tried") != width), F.lit(False))
+            anew = tagged.where(again).groupBy("pv_pool").applyInPandas(lambda g, r: packed(g, r, turn, width), schema)
+            now = staged(tagged.where(~again).select(anew.columns).unionByName(anew))
+            most = min(2 * most, max(most, rows))
+    return now.select(*carried, F.col("pv_seq").alias("sequence_id"), F.col("pv_offset").alias("offset"))
 
 
 def production(docs: DataFrame) -> DataFrame:

@@ -148,6 +148,16 @@ def test_partitions_exchange(spark, rows, pool, released):
     assert out["sequence_id"].nunique() <= whole * 1.1 + 2
 
 
+def test_partitions_of_few_released_rows_come_near_the_bound(spark):
+    """A pool of eight and a ninth partition alone, of which few rows are released at a time."""
+    lengths = np.random.default_rng(9).integers(1, 300, 880)
+    pieces = staged(spark.createDataFrame([(k, int(n)) for k, n in enumerate(lengths)], "doc_id long, length long"))
+    out = packing.pack(pieces, 2048, 100, 8, 10).toPandas()
+    assert sorted(out["doc_id"]) == list(range(880))
+    check_packing(out["sequence_id"].to_numpy(), out["offset"].to_numpy(), out["length"].to_numpy(), 2048)
+    assert out["sequence_id"].nunique() <= packing.lower_bound(lengths, 2048) + 1
+
+
 # --- near-duplicates ---------------------------------------------------------------------------------
 
 
