@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Characters are lower-cased code points; n-grams of one to ``order`` of them are hashed into a
-fixed number of coordinates.  Training reads a bounded sample, weighs counts by inverse
-document frequency, runs follow-the-regularised-leader with L1 and L2 (elastic net), then
+fixed number of coordinates.  Training counts document frequencies over all rows, reads a
+bounded sample, weighs its counts by inverse document frequency, runs follow-the-regularised-leader with L1 and L2 (elastic net), then
 fits one temperature on rows it held back.  Scoring is linear in a text's length and uses
 weights of a fixed size.
 """
@@ -10,6 +10,7 @@ weights of a fixed size.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the rows that training reads for each language, in expectation, and
-    ``most`` bounds them all; ``held_back`` of every ten rows serve the temperature."""
+    """``sample`` bounds the rows that the fit reads for each language, in expectation, and
+    ``most``, dealt evenly, those of all languages; ``held_back`` of every ten rows serve the temperature."""
 
     bits: int = 14
     order: int = 3
@@ -75,13 +76,20 @@ def vector(text: str, idf: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndar
     return at, x / (norm or 1)
 
 
-def train(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model:
-    """A model of the languages found.  Rows are taken in the order given."""
-    languages = tuple(sorted(set(langs)))
-    seen = np.zeros(1 << s.bits, np.int64)
+def frequencies(texts: list[str], s: Settings) -> np.ndarray:
+    """In how many of the texts each coordinate occurs, and behind these the number of texts."""
+    seen = np.zeros((1 << s.bits) + 1, np.int64)
     for t in texts:
-        seen += counts(t, s) > 0
-    idf = np.log((1 + len(texts)) / (1 + seen)) + 1
+        seen[:-1] += counts(t, s) > 0
+    seen[-1] = len(texts)
+    return seen
+
+
+def train(texts: list[str], langs: list[str], s: Settings = Settings(), seen: np.ndarray | None = None) -> Model:
+    """A model of the languages found, with the frequencies ``seen`` or those of ``texts``.  Rows are taken in the order given."""
+    languages = tuple(sorted(set(langs)))
+    seen = frequencies(texts, s) if seen is None else seen
+    idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
     number = {x: k for k, x in enumerate(languages)}
     wanted = np.eye(len(languages))
     rows = [(*vector(t, idf, s), wanted[number[x]]) for t, x in zip(texts, langs, strict=True)]
@@ -104,24 +112,47 @@ def train(texts: list[str], langs: list[str], s: Settings = Settings()) -> Model
     return Model(languages, idf, weights, bias, best[1])
 
 
-def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
-    """Learn from ``docs`` (text, lang); rows with a null in either, or no letter, are left out.
+def document_frequencies(known: DataFrame, s: Settings) -> np.ndarray:
+    """:func:`frequencies` of all rows with a letter: counted by partition, summed by coordinate."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((1 << s.bits) + 1, np.int64)
+        for rows in batches:
+            seen += frequencies([t for t in rows["text"] if has_letter(t)], s)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"at": at, "n": seen[at]})
+
+    seen = np.zeros((1 << s.bits) + 1, np.int64)
+    for at, n in known.select("text").mapInPandas(counted, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        seen[at] = n
+    return seen
 
-    Each language gives about ``s.sample`` rows: a row is taken if a hash of its text falls
-    under the language's share, so no language meets in one task before it is bounded.
+
+def sampled(known: DataFrame, s: Settings) -> DataFrame:
+    """``text``, ``lang``, ``turn`` of about ``s.sample`` rows a language, fewer where ``s.most`` dealt evenly is less.
+
+    A row is taken if a hash of its text, its language and chance falls under the language's
+    share, so that no language meets in one task before it is bounded, all languages
+    keep their share and copies of a text don't come in together.
     """
-    known = docs.select("text", "lang").dropna()
     sizes = known.groupBy("lang").count()
-    turn = F.xxhash64("text", "lang")
-    share = F.least(F.lit(1.0), s.sample / F.col("count"))
-    sizes = sizes.orderBy(F.desc("count"), "lang").limit(s.most)
-    part = F.pmod(turn, F.lit(1 << 30)) / (1 << 30)
-    chosen = known.join(F.broadcast(sizes), "lang").where(part < share).select("text", "lang", turn.alias("turn")).limit(s.most)
+    languages = max(1, sizes.count())
+    share = F.least(F.lit(1.0), min(s.sample, s.most / languages) / F.col("count"))
+    turn = F.xxhash64("text", "lang", F.monotonically_increasing_id())
+    part = F.pmod(F.col("turn"), F.lit(1 << 30)) / (1 << 30)
+    return known.withColumn("turn", turn).join(F.broadcast(sizes), "lang").where(part < share).select("text", "lang", "turn")
+
+
+def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
+    """Learn from ``docs`` (text, lang); rows with a null in either, or no letter, are left out."""
+    known = docs.select("text", "lang").dropna()
+    seen = document_frequencies(known, s)
+    chosen = sampled(known, s)
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["turn", "lang", "text"], kind="stable")
         rows = rows[[has_letter(t) for t in rows["text"]]]
-        m = train(rows["text"].tolist(), rows["lang"].tolist(), s)
+        m = train(rows["text"].tolist(), rows["lang"].tolist(), s, seen)
         packed = (json.dumps(m.languages), m.idf.astype(np.float32).tobytes(), m.weights.astype(np.float32).tobytes(), m.temperature)
         return pd.DataFrame([packed], columns=["languages", "idf", "weights", "temperature"])
 

@@ -265,6 +265,17 @@ def test_language_on_held_out_rows(spark):
     assert (out["lang"] == out["lang_pred"]).mean() > 0.97
 
 
+def test_language_sample_keeps_every_language_and_counts_all_rows(spark):
+    rows = [(f"word{k} of {lang}", lang) for lang in ("aa", "bb", "cc", "dd", "ee") for k in range(200)] + [("one text again", "zz")] * 200
+    s = language_id.Settings(bits=8, sample=100, most=120)
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    got = {r["lang"]: r["count"] for r in language_id.sampled(docs, s).groupBy("lang").count().collect()}
+    assert set(got) == {"aa", "bb", "cc", "dd", "ee", "zz"} and all(5 < n < 45 for n in got.values())
+    m = language_id.fit(docs, s)
+    seen = language_id.frequencies([t for t, _ in rows], s)
+    assert set(m.languages) == set(got) and np.allclose(m.idf, np.log(1201 / (1 + seen[:-1])) + 1, atol=1e-5)
+
+
 def test_language_of_odd_rows(spark, odd):
     docs = spark.createDataFrame([("the house and the man", "en"), ("das haus und der mann", "de"), (None, "en"), ("x", None), ("123", "fr")] * 6, "text string, lang string")
     m = language_id.fit(docs)
