@@ -628,5 +628,5 @@ def gas_storage_simulated(spark, sf_dir):
     """A year of gas storage on simulated prices, with monthly hedges."""
     from pathval.bench_contracts import gas_storage
 
-    r = gas_storage(spark, 2000)
+    r = gas_storage(spark)
     return spark.createDataFrame(r.periods[["market_name", "delivery_date", "perturbation_name", "delta", "hedge_units", "price_simulated", "cash"]])

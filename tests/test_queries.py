@@ -60,3 +60,13 @@ def test_entry_without_the_text_operators():
 
     code = "import sys; sys.modules['pathval.llm'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and set(e.oracle_sql()) < set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_simulated_storage_is_valued_on_the_default_paths(spark, monkeypatch):
+    from pathval import bench_contracts
+    from pathval.api import PATHS
+
+    asked, calc = [], bench_contracts.calc
+    monkeypatch.setattr(bench_contracts, "calc", lambda *a, **k: asked.append(a[3]) or calc(*a, **k))
+    assert QUERIES["gas_storage_simulated"](spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == [PATHS]
