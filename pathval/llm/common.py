@@ -30,6 +30,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column, hot: int = 1000) -> DataFrame:
+    """``rows`` (staged) joined with ``found``, which has one row for each ``key`` and in ``pv_many`` about how many rows have it.
+
+    A key with over one in ``hot`` of all rows is dealt to several tasks by ``spread``, its row
+    of ``found`` to each of them.  There are fewer than ``hot`` such keys, so their list is sent
+    to every executor.  Rows whose key is not found drop out.
+    """
+    most = max(100, rows.count() // hot)
+    pieces = F.ceil(F.col("pv_many") / most).cast("int")
+    large = found.where(F.col("pv_many") > most).select(key, pieces.alias("pv_pieces"))
+    piece = F.when(F.col("pv_pieces").isNull(), 0).otherwise(F.pmod(spread, F.col("pv_pieces")).cast("int"))
+    dealt = rows.join(F.broadcast(large), key, "left").withColumn("pv_piece", piece).drop("pv_pieces")
+    shares = F.when(F.col("pv_many") > most, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(found.withColumn("pv_piece", F.explode(shares)), [key, "pv_piece"]).drop("pv_piece")
+
+
 def staged(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"

@@ -75,7 +75,7 @@ def op9_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` without repeated chunks of lines."""
+    """All ``documents`` without the lines of repeated chunks."""
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
@@ -88,18 +88,18 @@ SQL = {
 WITH lines AS (
   SELECT DISTINCT doc_id, text, k, string_split(text, chr(10))[k] AS line
   FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k) WHERE text IS NOT NULL
-), hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
-rolled AS (
-  SELECT *, (h + 31 * coalesce(lag(h) OVER w, 0)) % 2 = 0 AS ends FROM hashed WINDOW w AS (PARTITION BY doc_id, text ORDER BY k)
-), numbered AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, text ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM rolled
+), worded AS (
+  SELECT *, lead(k) OVER w AS next_k, lead(line) OVER w AS next_line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id, text ORDER BY k)
 ), chunks AS (
-  SELECT doc_id, text, c, string_agg(line, chr(10) ORDER BY k) AS chunk, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n
-  FROM numbered GROUP BY doc_id, text, c
+  SELECT doc_id, text, k, next_k AS e, 2 AS n, line || chr(10) || next_line AS chunk FROM worded WHERE next_k IS NOT NULL
+  UNION ALL SELECT doc_id, text, k, k, 1, line FROM worded WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50
 ), marked AS (
-  SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY coalesce(doc_id, -9223372036854775808), c) > 1 AS again FROM chunks
+  SELECT *, row_number() OVER (PARTITION BY n, chunk ORDER BY coalesce(doc_id, -9223372036854775808), k) > 1 AS again FROM chunks
+), gone AS (
+  SELECT DISTINCT doc_id, text, unnest(range(k, e + 1)) AS k FROM marked WHERE again
 ), cleaned AS (
-  SELECT doc_id, text, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT again), '') AS clean, count(*) FILTER (again) AS n_removed FROM marked GROUP BY doc_id, text
+  SELECT l.doc_id, l.text, coalesce(string_agg(line, chr(10) ORDER BY l.k) FILTER (g.k IS NULL), '') AS clean, count(g.k) AS n_removed
+  FROM lines l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.k = g.k GROUP BY 1, 2
 )
 SELECT d.doc_id, coalesce(c.clean, d.text) AS text, coalesce(c.n_removed, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN cleaned c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.text = c.text

@@ -260,45 +260,58 @@ def test_one_of_each(spark, odd):
 # --- line chunks ------------------------------------------------------------------------------------------
 
 
-def brute_chunks(text):
-    import hashlib
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 
-    lines, out, before = text.split("\n"), [[]], 0
-    for line in lines:
-        out[-1].append(line)
-        h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-        if (h + 31 * before) % 2 == 0:
-            out.append([])
-        before = h
-    return ["\n".join(c) for c in out if c]
+def brute_chunks(text):
+    """First line, last line and bytes of each chunk: two lines with words, or one of many words."""
+    lines = text.split("\n")
+    worded = [k for k, x in enumerate(lines) if WORD.search(x)]
+    pairs = [(a, b, (2, lines[a] + "\n" + lines[b])) for a, b in itertools.pairwise(worded)]
+    return sorted(pairs + [(a, a, (1, lines[a])) for a in worded if len(WORD.findall(lines[a])) >= line_dedup.LONG])
 
 
 def brute_dedup(rows):
     seen, out = set(), {}
     for doc, text in sorted(rows):
-        kept = []
-        for c in brute_chunks(text):
-            several = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in c.split("\n")) > 1
-            if not (several and c in seen):
-                kept.append(c)
-            if several:
-                seen.add(c)
-        out[doc] = "\n".join(kept)
+        gone = set()
+        for a, b, chunk in brute_chunks(text):
+            if chunk in seen:
+                gone.update(range(a, b + 1))
+            seen.add(chunk)
+        out[doc] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
     return out
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text(alphabet="ab\n\x01\x02\x03 ", max_size=30), min_size=1, max_size=6))
-def test_chunks_give_the_text_back(texts):
-    assert all("\n".join(brute_chunks(t)) == t for t in texts)
-
-
 def test_chunk_expression_equals_brute_force(spark):
     rng = np.random.default_rng(2)
-    texts = ["\n".join(rng.choice(["a", "b c", "", " ", "d\x01e", "\x01\x02", "\x01\x03x"], rng.integers(1, 30))) for _ in range(200)] + ["", "\n", "\n\n", "x", "\x01\x02"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_dedup.chunks(F.col("t")).alias("c")).collect()
-    for r in got:
-        assert r["c"] == (brute_chunks(r["t"])), r["t"]
+    long = " ".join(["w"] * 50)
+    texts = ["\n".join(rng.choice(["a", "b c", "", " ", "\t\x0b", long, long[2:], "é" * 99], rng.integers(1, 30))) for _ in range(200)] + ["", "\n", "\n\n", "x"]
+    cut = spark.createDataFrame([(t,) for t in texts], "t string").select("t", line_dedup.told(F.col("t")).alias("l")).select("t", F.inline(line_dedup.chunks(F.col("l"))))
+    got = {t: set() for t in texts}
+    hashes = {}
+    for r in cut.select("t", "pos", "end", "r", line_dedup.written(F.col("t"), F.col("pos"), F.col("end")).alias("bytes")).collect():
+        several = r["pos"] < r["end"]
+        if several or len(WORD.findall(r["bytes"])) >= line_dedup.LONG:
+            got[r["t"]].add((r["pos"], r["end"], (1 + several, r["bytes"])))
+        assert hashes.setdefault(r["r"], (several, r["bytes"])) == (several, r["bytes"])
+    assert all(got[t] == set(brute_chunks(t)) for t in texts)
+
+
+@pytest.mark.parametrize("lines", range(1, 6))
+def test_repeated_passages_go_whole(spark, lines):
+    """Passages of over 50 words in several documents, each time between other lines."""
+    passage = "\n".join(" ".join(f"p{k}w{j}" for j in range(60 // lines + 1 if lines > 1 else 51)) for k in range(lines))
+    rows = [(d, f"own {d} a\n{passage}\nown {d} b\nown {d} c") for d in range(8)]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {d: t if d == 0 else f"own {d} a\nown {d} b\nown {d} c" for d, t in rows}
+
+
+def test_a_hot_chunk_is_dealt_to_several_tasks(spark):
+    """A passage that each document has, and blank lines between its lines."""
+    rows = [(d, f"own {d}\nsame\n{' ' * (d % 2)}\nagain") for d in range(700)]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == brute_dedup(rows) and left[5] == "own 5"
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -324,7 +337,7 @@ def test_dedup_of_odd_rows(spark, odd):
     rows = spark.createDataFrame([(None, many), (3, many), (3, many), (2, "x\n" + many)], "doc_id long, text string")
     got = line_dedup.report(rows).collect()
     assert [r["text"] for r in got if r["doc_id"] is None] == [many]
-    assert len({r["text"] for r in got if r["doc_id"] == 3}) == 1 and all(len(r["text"]) < len(many) // 2 for r in got if r["doc_id"] == 3)
+    assert [r["text"] for r in got if r["doc_id"] == 3] == ["", ""] and [r["text"] for r in got if r["doc_id"] == 2] == ["x"]
     assert line_dedup.report(odd.limit(0)).count() == 0
 
 
