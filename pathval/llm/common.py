@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +33,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
-def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column, hot: int = 1000) -> DataFrame:
+#: So many rows one task takes whatever their keys are.
+FEW = 10_000
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column, total: int | None = None, hot: int = 1000) -> DataFrame:
     """``rows`` (staged) joined with ``found``, which has one row for each ``key`` and in ``pv_many`` about how many rows have it.
 
     A key with over one in ``hot`` of all rows is dealt to several tasks by ``spread``, its row
     of ``found`` to each of them.  There are fewer than ``hot`` such keys, so their list is sent
-    to every executor.  Rows whose key is not found drop out.
+    to every executor.  Rows whose key is not found drop out.  ``total`` is the number of rows, if
+    known; up to ``FEW`` need no such care.
     """
-    most = max(100, rows.count() // hot)
+    total = rows.count() if total is None else total
+    if total <= FEW:
+        return rows.join(found, key)
+    most = max(100, total // hot)
     pieces = F.ceil(F.col("pv_many") / most).cast("int")
     large = found.where(F.col("pv_many") > most).select(key, pieces.alias("pv_pieces"))
     piece = F.when(F.col("pv_pieces").isNull(), 0).otherwise(F.pmod(spread, F.col("pv_pieces")).cast("int"))
@@ -63,6 +74,19 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % parts
 
 
+def raw(text: pa.Scalar) -> bytes:
+    """The UTF-8 bytes of a string in an Arrow array; null is empty."""
+    found = text.as_buffer()
+    return found.to_pybytes() if found is not None else b""
+
+
+def give_back() -> None:
+    """Memory that this worker no longer needs goes back to the machine, not only to its own pools."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(text: str | None) -> bytes:
     """The text's bytes; null is empty, lone surrogates pass through."""
     return (text or "").encode("utf-8", "surrogatepass")
