@@ -1,7 +1,10 @@
 """Operators on single texts: rules, tokens, extraction, language, quality, fingerprints."""
 
 import hashlib
+import html
+import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -127,6 +130,15 @@ def test_little_memory_gives_the_same_ids():
     assert OURS.encode("a" * 20_000) == KNOWN.encode_ordinary("a" * 20_000)
 
 
+def test_states_stay_bounded_within_a_long_run():
+    rng = np.random.default_rng(5)
+    small = bpe_transducer.Codec(RANKS, public_tokenizers.PATTERN)
+    small.fst.most_states = 2000
+    run = "".join(rng.choice(list("etaoinshrdlu"), 30_000))
+    assert small.encode(run) == KNOWN.encode_ordinary(run)
+    assert len(small.fst._states) <= 2001 and len(small.fst._number) <= 2001
+
+
 def test_round_trip_as_query(spark, odd):
     rows = bpe_transducer.production(spark, odd).collect()
     texts = sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in ODD)
@@ -198,15 +210,80 @@ def test_deep_pages():
     assert html_density.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
-def test_pages_of_the_table(spark):
-    """Brute force: the article's text between its tags, as these pages have it."""
-    import html
+@pytest.mark.parametrize("page", [lambda n: "<b>" * n + "<p>x" * n, lambda n: "<div>" * n + "<p>x" * n, lambda n: "<ul><li>" * n + "</b>" * n, lambda n: "<a href=x>" * n + "y", lambda n: "<header>" * n + "<h1>t"])
+def test_time_follows_the_length(page):
+    def took(n):
+        began = time.process_time()
+        html_density.extract(page(n))
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 12 * max(took(10_000), 0.05)  # a square would be 16
+
+
+def brute_densities(node, body):
+    """Definitions, by recursion: density, density sum and what they are made of, of a node and all below it."""
+    below, chars, tags, link_chars, links = [], 0, 0, 0, 0
+    for c in node.children:
+        if isinstance(c, str):
+            chars += len(re.sub(r"\s", "", c))
+        else:
+            got = brute_densities(c, body)
+            below += got
+            _, n, t, lc, k, _, _ = got[-1]
+            chars, tags, link_chars, links = chars + n, tags + t + 1, link_chars + lc, links + k + (c.tag == "a")
+    if node.tag == "a":
+        link_chars = chars
+    share = body[0] / body[1] if body[1] else 0
+    own = 0.0
+    if chars:
+        lc, t, k = max(1, link_chars), max(1, tags), max(1, links)
+        own = chars / t * math.log(chars / lc * t / k, math.log(chars / max(1, chars - link_chars) * lc + share * chars + math.e))
+    near = {id(c): next(b for b in below if b[0] is c) for c in node.children if not isinstance(c, str)}
+    total = sum(near[id(c)][5] if c.tag in html_density.BLOCK else near[id(c)][6] for c in node.children if not isinstance(c, str))
+    return [*below, (node, chars, tags, link_chars, links, own, total)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p>", "<a href=x>", "</a>", "<b>", "</b>", "some words of text ", "ä b ", "<section>", "</section>", "<li>"]), max_size=40))
+def test_densities_equal_brute_force(parts):
+    root = html_density.parse("<body>" + "".join(parts))
+    html_density.clean(root)
+    html_density.weigh(root)
+    body = root.children[0]
+    nodes = brute_densities(root, (body.link_chars, body.chars))
+    for node, chars, tags, link_chars, links, own, total in nodes:
+        assert (node.chars, node.tags, node.link_chars, node.links) == (chars, tags, link_chars, links)
+        assert node.density == pytest.approx(own) and node.total == pytest.approx(total)
+    best = max((n.total for n in html_density.preorder(body) if n is body or n.tag in html_density.BLOCK), default=0)
+    chosen, threshold = html_density.chosen(root)
+    inside = [m for n in chosen for m in html_density.preorder(n)]
+    assert not chosen or best == 0 or any(n.total == best for n in inside) or body.total == best
+    assert threshold <= body.density
+
+
+def test_density_alone_finds_the_articles(spark):
+    """With names and tags of menus and the like unasked, on all pages."""
+    for r in table(spark, "pages").select("html").collect():
+        assert html_density.extract(r["html"], named=False) == html_density.extract(r["html"]) == gold(r["html"])
+
+
+def test_pages_of_clashing_names(spark):
+    rows = [(k, page, "t", 1.0, "c") for k, page in enumerate([None, "", PAGE, PAGE, "plain"])]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string, n_chars double, density string")
+    got = pages.select("page_id", "text", html_density.main_text(F.col("html")).alias("found")).collect()
+    assert [r["found"] for r in sorted(got)] == ["", "", html_density.extract(PAGE), html_density.extract(PAGE), "plain"]
+
+
+def gold(page):
+    """The article's text between its tags, as the pages of the table have it."""
+    found = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]
+    parts = [" ".join(html.unescape(re.sub(r"<(?!/?(?:p|h1)\b)[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", found)]
+    return "\n".join(x for x in parts if x)
 
-    def gold(page):
-        found = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)[1]
-        parts = [" ".join(html.unescape(re.sub(r"<(?!/?(?:p|h1)\b)[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", found)]
-        return "\n".join(x for x in parts if x)
 
+def test_pages_of_the_table(spark):
+    """Brute force over whole pages."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in pages.select("html", html_density.main_text(F.col("html")).alias("text")).collect():
         assert r["text"] == gold(r["html"])
