@@ -7,8 +7,8 @@ next token, spell it byte by byte along a trie, and check it against the one bef
 prefix of a text has one encoding, so a determinised state is the list of tokens being spelt,
 each with the tokens read since all of them agreed.  What all agree on is emitted; an entry
 lives as long as some token continues it, so the lookahead is at most the longest token.
-States and transitions are made when met a second time and forgotten when they pass a bound;
-until then a piece goes on from the last state's entries without a state of its own.
+States and transitions are made when met a second time and forgotten when they pass a bound,
+within a piece too; until then a piece goes on from the last state's entries without a state of its own.
 
 Decoding joins the tokens' bytes and feeds them to an incremental UTF-8 automaton, so that a
 character split over tokens, or over calls, comes out whole.
@@ -65,6 +65,17 @@ class Transducer:
         self._ends: list[tuple[int, ...]] = [()]
         self._met: set[int] = set()  # transitions asked for once
 
+    def _restart(self, state: int) -> int:
+        """Forgets all states but one, and its new number."""
+        entries = self._states[state]
+        self._forget()
+        if entries not in self._number:
+            self._number[entries] = len(self._states)
+            self._states.append(entries)
+            self._moves.append({})
+            self._ends.append(entries[-1][2])
+        return self._number[entries]
+
     def merged(self, piece: bytes, left: int = 1) -> list[int]:
         """The definition: merge the neighbouring pair of lowest rank, leftmost first, till none
         or only ``left`` parts are left."""
@@ -218,10 +229,13 @@ class Transducer:
             move = moves[state].get(byte)
             if move is None:
                 key = state << 8 | byte
+                # either way gives the same tokens; states keep the memory of a long piece bounded
                 if key not in self._met and len(piece) < 256:
                     self._met.add(key)
                     out += self._onward(state, piece[k:])
                     return tuple(out)
+                if len(self._states) > self.most_states:
+                    state, moves = self._restart(state), self._moves
                 move = self._move(state, byte)
             state, emitted = move
             if emitted:
