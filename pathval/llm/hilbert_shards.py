@@ -3,8 +3,9 @@
 Each dimension is cut at approximate quantiles into 2^bits steps; the steps of a row are a
 cell of a hypercube, and rows are sorted by the cell's place on the Hilbert curve.  Runs of
 the sorted rows become shards, so that a shard's rows lie near each other in every dimension
-and files can be skipped by the minima and maxima of any of them.  Shards follow the law
-``rows``: their numbers of rows differ by one at most.
+and files can be skipped by the minima and maxima of any of them.  Rows of equal texts stand
+together, at the place of the first of them.  Shards follow the law ``rows``: their numbers of
+rows differ by one at most, so a group of equal texts is cut only where a shard ends.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathval.llm.common import staged
+from pathval.llm.common import looked_up, staged
 
 #: Rows that one sorted partition holds, about.
 ROWS_A_PARTITION = 500_000
@@ -68,10 +69,11 @@ def ordinal(col: str, kind: T.DataType) -> Column:
 def sharded(docs: DataFrame, dims: list[str], shards: int = 40, bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``shard``, ``slot``, ``size`` and ``text_crc32`` for each row's id.
 
-    Rows are ordered by curve, then digest of the text (equal texts of a cell stay together),
-    then id.  A null in a dimension counts as its lowest step; a null text has size 16 and
-    digest 0; a null id sorts first.  Repeated rows are rows like others.  Without rows the
-    result is empty.  Any other columns are ignored.
+    Rows are ordered by the least place on the curve that a row of their text has, then by the
+    text's digests, then id.  A null in a dimension counts as its lowest step; null texts are
+    equal, have size 16 and digest 0; a null id sorts first.  Repeated rows are rows like
+    others, of very long texts only digests are kept.  Without rows the result is empty.  Any
+    other columns are ignored.
     """
     spark = docs.sparkSession
     kinds = {f.name: f.dataType for f in docs.schema.fields}
@@ -79,6 +81,7 @@ def sharded(docs: DataFrame, dims: list[str], shards: int = 40, bits: int = 6, i
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text_col, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.xxhash64(text_col).alias("same"),
         *[ordinal(d, kinds[d]).alias(f"v{k}") for k, d in enumerate(dims)],
     )
     slim = staged(slim)
@@ -92,9 +95,11 @@ def sharded(docs: DataFrame, dims: list[str], shards: int = 40, bits: int = 6, i
         steps = [np.where(np.isnan(v), 0, np.searchsorted(c, v, side="right")) for v, c in zip((x.to_numpy(float, na_value=np.nan) for x in values), cuts, strict=True)]
         return pd.Series(hilbert(np.stack(steps, axis=1).astype(np.int64), bits))
 
-    keys = ["curve", "text_crc32", "size", "doc_id"]
+    keys = ["curve", "text_crc32", "same", "size", "doc_id"]
     parts = max(1, -(-n // ROWS_A_PARTITION), int(spark.conf.get("spark.sql.shuffle.partitions")) if n > 10_000 else 1)
-    ranked = slim.select("doc_id", "size", "text_crc32", curve(*[f"v{k}" for k in range(len(dims))]).alias("curve"))
+    placed = staged(slim.select("doc_id", "size", "text_crc32", "same", curve(*[f"v{k}" for k in range(len(dims))]).alias("own")))
+    groups = placed.groupBy("same").agg(F.min("own").alias("curve"), F.count("*").alias("pv_many"))
+    ranked = looked_up(placed, groups, "same", F.xxhash64("doc_id", "own"), n).select(*keys)
     ranked = ranked.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     # the partition and the row's place in it, fixed by writing them
     ranked = staged(ranked.withColumn("at", F.monotonically_increasing_id()))
