@@ -17,13 +17,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathval.llm.common import give_back, raw
+
 BINS = 64
-#: Rows that one sorted partition holds, about.
-ROWS_A_PARTITION = 10_000
+#: Rows that one sorted partition holds, about, while there are no more than ``PARTS`` of them; keys sampled for each.
+ROWS_A_PARTITION, PARTS, KEYS = 10_000, 20_000, 40
+#: An id and a hash of the text.
+KEY = np.dtype([("a", np.int64), ("b", np.int64)])
 
 
 def phrases(data: bytes, begin: int = 0, known: set[bytes] | None = None) -> tuple[list[bytes], list[int]]:
@@ -113,61 +117,65 @@ def both(text: str, other: str, bins: int = BINS) -> tuple[np.ndarray, np.ndarra
     return own, signature(shared + rest, bins), edited
 
 
-def keys_of(spark: SparkSession, number: int) -> np.ndarray:
-    """For each of ``number`` partitions a key that hashing deals to it, so that none gets two."""
-    ids = spark.range(0, 32 * number)
-    found = ids.groupBy(F.pmod(F.hash("id"), F.lit(number)).alias("part")).agg(F.min("id").alias("key")).collect()
-    keys = np.arange(number, dtype=np.int64)
-    for r in found:
-        keys[r["part"]] = r["key"]
-    return keys
+def begins(keyed: DataFrame, count: int) -> np.ndarray:
+    """Keys of rows at which partitions begin, in order, the first of all rows among them.
+
+    They come from a sample of keys by their hash, about ``KEYS`` for each of up to ``PARTS``
+    partitions; they say where rows are worked on, not what comes of them.
+    """
+    parts = min(PARTS, max(1, -(-count // ROWS_A_PARTITION)))
+    chance = F.pmod(F.xxhash64("pv_order", "pv_tie", F.lit(1)), F.lit(max(1, count // (KEYS * parts))))
+    least = keyed.agg(F.min(F.struct("pv_order", "pv_tie")).alias("k")).select("k.*")
+    some = keyed.where(chance == 0).select("pv_order", "pv_tie")
+    found = np.unique(np.array([(r[0], r[1]) for r in some.unionByName(least.dropna()).collect()], KEY))
+    if not len(found):
+        return found
+    return found[np.unique(np.arange(parts) * len(found) // parts)]
 
 
 def fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness.
 
-    The next document is the one after in ascending doc_id (ties by text), after the last the
-    first; of a single document itself.  A null id comes first; a null text counts as empty.
-    Repeated rows are documents like others; equal texts have equal fingerprints.  Documents
-    are range-partitioned by id at quantiles of the ids, each partition also gets the first
-    id of the next one, and each is read once in order.
+    The next document is the one after in ascending doc_id (ties by a hash of the text), after
+    the last the first; of a single document itself.  A null id comes first; a null text counts
+    as empty.  Repeated rows are documents like others; equal texts have equal fingerprints.
+    Documents are dealt to ranges of keys, each range also gets the first row of the next one,
+    and each is read once in order, a text at a time.  No rows give no rows; other columns are
+    ignored.
     """
-    slim = docs.select("doc_id", "text")
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    count, least = docs.agg(F.count("*"), F.min(order)).first()
-    parts = max(1, -(-count // ROWS_A_PARTITION))
-    found = docs.agg(F.percentile_approx(order, [k / parts for k in range(parts)] or [0.0], 10_000)).first()[0] if count else []
-    starts = sorted({least, *(found or [])} if count else set())
-    number = max(1, len(starts))
-    sent = docs.sparkSession.sparkContext.broadcast((np.array(starts, np.int64), keys_of(docs.sparkSession, number)))
-
-    @F.pandas_udf("part long, key long, before long, before_key long, first boolean")
-    def place(ids: pd.Series) -> pd.DataFrame:
-        begins, keys = sent.value
-        values = ids.to_numpy(np.int64)
-        part = np.searchsorted(begins, values, side="right") - 1
-        before = (part - 1) % len(keys)
-        return pd.DataFrame({"part": part, "key": keys[part], "before": before, "before_key": keys[before], "first": begins[part] == values})
-
-    keyed = slim.withColumn("pv_order", order).withColumn("pv_at", place("pv_order"))
-    # the rows of a partition's first id also go to the partition before, behind its own rows
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("pv_order")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", order, F.xxhash64("text").alias("pv_tie"))
+    first_keys = begins(keyed, docs.count())
+    number = max(1, len(first_keys))
+    sent = docs.sparkSession.sparkContext.broadcast(first_keys)
+
+    @F.arrow_udf("part int, first boolean")
+    def place(order: pa.Array, tie: pa.Array) -> pa.Array:
+        keys = np.empty(len(order), KEY)
+        keys["a"], keys["b"] = order.to_numpy(), tie.to_numpy()
+        part = np.searchsorted(sent.value, keys, side="right") - 1
+        return pa.StructArray.from_arrays([pa.array(part, pa.int32()), pa.array(sent.value[part] == keys)], names=["part", "first"])
+
     at = F.col("pv_at")
-    own_copy = F.struct(at["part"].alias("part"), at["key"].alias("key"), F.lit(0).alias("late"))
-    early_copy = F.struct(at["before"].alias("part"), at["before_key"].alias("key"), F.lit(1).alias("late"))
+    # the rows of a partition's first key also go to the partition before, behind its own rows
+    own_copy = F.struct(at["part"].alias("part"), F.lit(0).alias("late"))
+    early_copy = F.struct(F.pmod(at["part"] - 1, F.lit(number)).alias("part"), F.lit(1).alias("late"))
     copies = F.when(at["first"], F.array(own_copy, early_copy)).otherwise(F.array(own_copy))
-    dealt = keyed.withColumn("pv_copy", F.explode(copies)).select("doc_id", "text", "pv_order", "pv_copy.part", "pv_copy.key", "pv_copy.late")
-    dealt = dealt.repartition(number, "key").sortWithinPartitions("part", "late", "pv_order", "text")
+    dealt = keyed.withColumn("pv_at", place("pv_order", "pv_tie")).withColumn("pv_copy", F.explode(copies))
+    dealt = dealt.select("doc_id", "text", "pv_order", "pv_tie", "pv_copy.part", "pv_copy.late")
+    dealt = dealt.repartitionById(number, "part").sortWithinPartitions("part", "late", "pv_order", "pv_tie")
 
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Each row's id and text, the next row's text, and whether that is of the next partition."""
         held = None
-        for rows in batches:
-            for doc, text, part, late in zip(rows["doc_id"], rows["text"], rows["part"], rows["late"], strict=True):
+        for batch in batches:
+            for doc, text, part, late in zip(*(batch.column(c) for c in ("doc_id", "text", "part", "late")), strict=True):
+                text, part, late = raw(text).decode(), part.as_py(), late.as_py()
                 if held is not None and held[2] == part:
-                    yield held[0], held[1], text or "", late
-                held = None if late else (doc, text or "", part)
+                    yield held[0], held[1], text, late
+                held = None if late else (doc.as_py(), text, part)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         waiting = None  # a row whose next one's fingerprint is to come
         for doc, text, after, late in neighbours(batches):
@@ -179,16 +187,16 @@ def fingerprints(docs: DataFrame, bins: int = BINS) -> DataFrame:
                 out.append((*waiting, signature(phrases(after.encode("utf-8", "surrogatepass"))[0], bins)))
                 waiting = None
             if len(out) >= 1000:
-                yield frame(out)
+                yield table(out)
                 out = []
-        if out:
-            yield frame(out)
+        yield table(out)
+        give_back()
 
-    def frame(rows: list) -> pd.DataFrame:
+    def table(rows: list) -> pa.RecordBatch:
         made = [(d, n, sha, written(own), written(edit), likeness(own, edit), likeness(own, after)) for d, n, sha, own, edit, after in rows]
-        f = pd.DataFrame(made, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        f["doc_id"] = f["doc_id"].astype("Int64")
-        return f
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], t) for k, t in enumerate(kinds)], names=names)
 
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInPandas(read, schema)
+    return dealt.select("doc_id", "text", "part", "late").mapInArrow(read, schema)
