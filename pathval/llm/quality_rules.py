@@ -9,15 +9,16 @@ both its (n-1)-grams are; longer lengths look at the rest alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathval.llm.common import BLANKS, utf8
+from pathval.llm.common import BLANKS, give_back, raw, utf8
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -103,16 +104,16 @@ def _covered(places: np.ndarray, n: int, words: int) -> np.ndarray:
     return np.cumsum(depth)[:words] > 0
 
 
-def measure(text: str | None, limits: Limits = Limits()) -> dict[str, int | bool]:
-    """All measures of one text.  Null counts as empty; a text without words has zeros."""
-    raw = utf8(text)
-    h, chars = word_hashes(raw)
+def measure(text: str | bytes | None, limits: Limits = Limits()) -> dict[str, int | bool]:
+    """All measures of one text or its UTF-8 bytes.  Null counts as empty; a text without words has zeros."""
+    data = text if isinstance(text, bytes) else utf8(text)
+    h, chars = word_hashes(data)
     words, total = len(h), int(chars.sum())
-    out = {"n_words": words, "word_chars": total, "n_symbols": sum(raw.count(x) for x in SYMBOLS), "n_repeat_words": 0}
+    out = {"n_words": words, "word_chars": total, "n_symbols": sum(data.count(x) for x in SYMBOLS), "n_dup_lines": 0, "n_repeat_words": 0, "base_failed": True, "kept": False}
     seen: set[bytes] = set()
     lines = dup_lines = dup_line_chars = 0
-    if b"\n" in raw:
-        for line in raw.split(b"\n"):
+    if b"\n" in data:
+        for line in data.split(b"\n"):
             if parts := line.split():
                 lines += 1
                 if line in seen:
@@ -167,8 +168,11 @@ def repetition(text: Column, limits: Limits = Limits()) -> Column:
     names = list(measure("", limits))
     kind = T.StructType([T.StructField(x, T.BooleanType() if x in ("base_failed", "kept") else T.LongType(), False) for x in names])
 
-    @F.pandas_udf(kind)
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t, limits) for t in texts], columns=names)
+    @F.arrow_udf(kind)
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [tuple(measure(raw(t), limits).values()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.bool_() if x in ("base_failed", "kept") else pa.int64()) for k, x in enumerate(names)], names=names)
+        give_back()
 
     return measured(text)
