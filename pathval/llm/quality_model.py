@@ -12,14 +12,16 @@ product with the weights, which have a fixed size and are sent to every executor
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathval.llm.common import utf8
+from pathval.llm.common import give_back, raw
 from pathval.llm.ftrl import Leader
 
 
@@ -36,7 +38,7 @@ class Settings:
     l2: float = 0.001
 
 
-def features(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def features(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The distinct coordinates of a text and their values; none for a text without words."""
     at, n = counted(text, s)
     return at, scaled(n)
@@ -47,9 +49,9 @@ def scaled(counts: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum()) if len(x) else x
 
 
-def counted(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def counted(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The distinct coordinates of a text and how often each occurs."""
-    words = utf8(text).split()
+    words = text.split()
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.int32)
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
@@ -82,9 +84,11 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> np.ndarray:
     zero and every score is one half.
     """
 
-    def hashed(texts: pd.Series) -> pd.DataFrame:
-        rows = [counted(t, s) for t in texts]
-        return pd.DataFrame({"at": [at.tobytes() for at, _ in rows], "n": [n.tobytes() for _, n in rows]})
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [counted(raw(t), s) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([x[k].tobytes() for x in rows], pa.binary()) for k in (0, 1)], names=["at", "n"])
+        give_back()
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("turn", kind="stable")
@@ -92,7 +96,7 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> np.ndarray:
         weights = learned([(read(at), read(n), y) for at, n, y in zip(rows["at"], rows["n"], rows["label"], strict=True)], s)
         return pd.DataFrame({"weights": [weights.tobytes()]})
 
-    vectors = F.pandas_udf(hashed, "at binary, n binary")
+    vectors = F.arrow_udf(hashed, "at binary, n binary")
     found = (
         labelled.select(F.xxhash64("text", "label").alias("turn"), "label", vectors("text").alias("v"))
         .select("turn", "label", "v.at", "v.n")
@@ -117,13 +121,15 @@ def score(text: Column, weights: np.ndarray, spark, s: Settings = Settings()) ->
     """The probability of label 1 for each text, from 0 to 1; texts without words get the bias alone."""
     sent = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = sent.value
-        out = np.empty(len(texts))
-        for k, t in enumerate(texts):
-            at, x = features(t, s)
-            out[k] = float(w[-1]) + float(w[at] @ x)
-        return pd.Series(1 / (1 + np.exp(-np.clip(out, -60, 60))))
+        for texts in batches:
+            out = np.empty(len(texts))
+            for k, t in enumerate(texts):
+                at, x = features(raw(t), s)
+                out[k] = float(w[-1]) + float(w[at] @ x)
+            yield pa.array(1 / (1 + np.exp(-np.clip(out, -60, 60))))
+        give_back()
 
     return scored(text)
