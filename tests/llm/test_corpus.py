@@ -60,12 +60,40 @@ def test_more_shards_than_rows(odd):
 
 
 def test_shards_are_narrow_in_every_dimension(spark):
-    docs = spark.range(4096).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), (F.col("id") % 64).alias("x"), F.floor(F.col("id") / 64).alias("y"))
+    docs = spark.range(4096).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), (F.col("id") % 64).alias("x"), F.floor(F.col("id") / 64).alias("y"))
     out = hilbert_shards.sharded(docs, ["x", "y"], shards=16).join(docs, "doc_id")
     span = out.groupBy("shard").agg((F.max("x") - F.min("x")).alias("dx"), (F.max("y") - F.min("y")).alias("dy")).toPandas()
     assert span["dx"].mean() < 24 and span["dy"].mean() < 24
 
 
+def test_whole_query_equals_a_sort_in_memory(spark):
+    """Quantiles, curve, groups of equal texts, runs: by pandas over all documents."""
+    from pathval.llm.queries import op4_hilbert_shards
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    got = op4_hilbert_shards(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
+    steps = []
+    for col in ("lang", "source", "n_chars"):
+        values = docs[col]
+        if col != "n_chars":
+            values = values.map(lambda x: float(int((x or "").encode()[:7].hex().ljust(14, "0"), 16)) if x is not None else np.nan)
+        values = values.to_numpy(float)
+        known = np.sort(values[~np.isnan(values)])
+        cuts = np.unique([known[max(0, -(-k * len(known) // 64) - 1)] for k in range(1, 64)])  # a percentile is a value that is there
+        steps.append(np.where(np.isnan(values), 0, np.searchsorted(cuts, values, side="right")))
+    docs["own"] = hilbert_shards.hilbert(np.stack(steps, axis=1).astype(np.int64), 6)
+    docs["crc"] = [zlib.crc32((t or "").encode()) if t is not None else 0 for t in docs["text"]]
+    docs["curve"] = docs.groupby(docs["text"].fillna("\x00null"))["own"].transform("min")
+    ranked = docs.sort_values(["curve", "crc", "doc_id"]).reset_index(drop=True)
+    ranked["shard"] = np.arange(len(ranked)) * 40 // len(ranked)
+    want = ranked.sort_values("doc_id").reset_index(drop=True)
+    assert (got["doc_id"] == want["doc_id"]).all() and (got["text_crc32"] == want["crc"]).all()
+    assert (got["shard"] == want["shard"]).all()
+    parted = got.groupby("text_crc32")["shard"].nunique()
+    assert (parted > 1).sum() <= 39
+
+
 # --- packing ---------------------------------------------------------------------------------------
 
 
@@ -108,7 +136,6 @@ def test_bound_of_large_items():
 
 
 TOKENS = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-TOKENS.encode_special_tokens = True
 
 
 def library_ids(text):
@@ -119,7 +146,39 @@ def library_ids(text):
 @given(st.one_of(st.text(max_size=40), st.text(alphabet="aAbE'sStT.,!\n 09éÉßİıΣς½ª́ẞ漢🙂​\x1c\x85\xad<|>", max_size=30)))
 def test_ids_are_those_of_the_library(text):
     words = test_ids_are_those_of_the_library.__dict__.setdefault("words", packing.Words(public_tokenizers.path("word_bpe_49k.json")))
-    assert words.encode(text) == library_ids(text)[:-1].tobytes()
+    assert words.encode(text.encode("utf-8", "replace")) == library_ids(text.encode("utf-8", "replace").decode())[:-1].tobytes()
+
+
+@pytest.mark.parametrize("most", [0, 2_000, 24_000_000])
+def test_ids_of_special_strings_and_long_runs(most):
+    """Special tokens' strings are those tokens, and little memory changes no id."""
+    words = packing.Words(public_tokenizers.path("word_bpe_49k.json"), most)
+    words.BATCH = 40
+    texts = ["a<|endoftext|>b <|startoftext|>", "x <|EndOfText|> <|endof text|> é<|endoftext|>'s", "ab" * 5000, "漢" * 500, LONG[:4000], "Don't stop, it's 2024. " * 30]
+    for text in texts:
+        assert words.encode(text.encode()) == library_ids(text)[:-1].tobytes(), text[:40]
+
+
+def test_certified_partitions_exchange_nothing(spark):
+    """Pieces of over half a sequence need one each: every partition meets its bound at once."""
+    lengths = np.random.default_rng(3).integers(1030, 1300, 800)
+    pieces = staged(spark.createDataFrame([(k, int(n), "s") for k, n in enumerate(lengths)], "seq long, length long, part string"))
+    out = packing.pack(pieces, 2048, 100, 8, 10)
+    assert out.columns == ["seq", "length", "part", "sequence_id", "offset", "bound", "certified"]
+    got = out.toPandas()
+    assert got["certified"].all() and got["sequence_id"].nunique() == 800 and (got["sequence_id"] < 8 << 24).all()
+    sizes = got.groupby(got["sequence_id"] // (1 << 24))
+    assert (sizes["bound"].first() == sizes.size()).all()
+
+
+def test_bounds_and_certificates_of_groups(spark):
+    lengths = np.random.default_rng(4).integers(1, 1500, 700)
+    pieces = staged(spark.createDataFrame([(k, int(n)) for k, n in enumerate(lengths)], "doc_id long, length long"))
+    got = packing.pack(pieces, 2048, 100, 3, 20).toPandas()
+    assert (got.groupby("sequence_id")[["bound", "certified"]].nunique() == 1).all().all()
+    assert got["sequence_id"].nunique() >= packing.lower_bound(lengths, 2048)
+    first = packing.pack(pieces, 2048, 1000, 3, 20).toPandas()  # one partition
+    assert set(first["bound"]) == {packing.lower_bound(lengths, 2048)} and set(first["certified"]) == {first["sequence_id"].nunique() == packing.lower_bound(lengths, 2048)}
 
 
 def test_pieces_are_the_documents(spark, odd):
@@ -214,6 +273,7 @@ def test_slices_lose_no_link(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard_join, "ANCHORS", 2)
     monkeypatch.setattr(jaccard_join, "SORTED", 300)
     monkeypatch.setattr(jaccard_join, "DEAL", 500)
+    monkeypatch.setattr(jaccard_join, "FLUSH", 100)  # so that common shingles are dealt by place
     got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute_classes(rows)
 
