@@ -11,16 +11,17 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pathval.errors import DslError
 from pathval.functions.dates import as_date
-from pathval.operators.blocks import BlockRunner, Setting
+from pathval.operators.blocks import BlockRunner, Setting, scenario_blocks
 from pathval.operators.evaluate import Arrays, Evaluator
 from pathval.plans.parse import Parser
-from pathval.plans.program import Program, build, required_prices
+from pathval.plans.program import PriceKey, Program, build, required_prices
 from pathval.plans.unfold import Node, Unfolder
-from pathval.report import SCHEMA, Finish, Results
+from pathval.report import SCHEMA, SHARES, Finish, Results
 from pathval.sources.gbm import BlackScholes, Market
 
 PATHS, FACTOR, LIMIT = 20_000, 0.01, 10_000
@@ -87,8 +88,11 @@ class Engine:
         random = frozenset(n for n, e in self.elements.items() if e.stochastic)
         return Contract(source, day, Unfolder(module, day, self.limit, random).nodes(), self.elements)
 
-    def evaluate(self, contract: Contract, price_process: Mapping | None = None, *, interest_rate: float = 0.0, path_count: int = PATHS, perturbation_factor: float = FACTOR, periodisation: str | None = None, is_double_sided_deltas: bool = True, seed: int = 0) -> Results:
-        """The contract's value, lazily: jobs run for the choices, the rest when results are read."""
+    def evaluate(self, contract: Contract, price_process: Mapping | None = None, *, interest_rate: float = 0.0, path_count: int = PATHS, perturbation_factor: float = FACTOR, periodisation: str | None = None, is_double_sided_deltas: bool = True, seed: int = 0, scenarios: tuple[DataFrame, Mapping[PriceKey, str]] | None = None) -> Results:
+        """The contract's value, lazily: jobs run for the choices, the rest when results are read.
+
+        ``scenarios``, a table with a ``path_id`` and a column for each price, stands in for a price process.
+        """
         began = time.time()
         program = contract.program(periodisation)
         setting = Setting(float(interest_rate), perturbation_factor, is_double_sided_deltas, {n: e.apply for n, e in contract.custom.items()})
@@ -97,14 +101,23 @@ class Engine:
             for n in program.order:
                 ev.node(n)
             return Results(ev.node(0), None, program, is_double_sided_deltas, {"evaluate": time.time() - began})
-        params = dict(price_process or {})
-        cls = process_class(params.pop("name", BLACK_SCHOLES))
-        process = cls(Market.from_params(params), program.observation, required_prices(program), seed)
-        means = {(m, c.present): process.scale((m, c.present, c.present))[0] or 1.0 for c in program.choices for m in program.markets}
-        runner = BlockRunner(self.spark, program, setting, process.chunk, path_count)
         finish = Finish(program, setting.rate, setting.factor, is_double_sided_deltas)
-        paths = runner.run(finish, SCHEMA, means).persist()
-        return Results(None, paths, program, is_double_sided_deltas, {"levels": time.time() - began})
+        spots = {(m, c.present, c.present) for c in program.choices for m in program.markets}
+        if scenarios is not None:
+            table, prices = scenarios
+            if missing := sorted(program.prices - set(prices)):
+                raise DslError("scenarios lack a price", repr(missing[0]))
+            found = table.agg(*[F.avg(f"`{prices[s]}`") for s in sorted(spots)]).first() if spots else ()
+            means = {(m, day): mean or 1.0 for (m, day, _), mean in zip(sorted(spots), found, strict=True)}
+            runner = BlockRunner(self.spark, program, setting, None, 0, *scenario_blocks(table, {k: prices[k] for k in program.prices}))
+        else:
+            params = dict(price_process or {})
+            cls = process_class(params.pop("name", BLACK_SCHOLES))
+            process = cls(Market.from_params(params), program.observation, required_prices(program), seed)
+            means = {(m, day): process.scale((m, day, day))[0] or 1.0 for m, day, _ in spots}
+            runner = BlockRunner(self.spark, program, setting, process.chunk, path_count)
+        paths, shares = runner.run([(finish, SCHEMA), (finish.shares, SHARES)], means)
+        return Results(None, paths, program, is_double_sided_deltas, {"levels": time.time() - began}, shares, runner.state)
 
 
 def _no_price(*key: object) -> Any:

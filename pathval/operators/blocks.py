@@ -3,25 +3,30 @@
 A block holds what later levels still read, as one binary matrix: prices, choices made, and
 the alternatives of the level in hand.  A level's job adds its share of the normal equations;
 shares are summed on the executors before the driver solves them, and the next job chooses and
-goes on.  Blocks are functions of their number and the seed, so lost ones are made again.
+goes on.  Blocks are functions of their number and the seed, or rows of a scenario table, so
+lost ones are made again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import datetime as dt
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathval.operators.evaluate import Arrays, Evaluator
 from pathval.operators.regression import basis, solve
-from pathval.plans.program import Program
+from pathval.plans.program import PriceKey, Program
 from pathval.sources.gbm import CHUNK
 
 STATE = "block long, size int, data binary"
+#: Stands among a block's prices for the numbers of its paths, where these are not a run of numbers.
+PATH: PriceKey = ("", dt.date.min, dt.date.min)
 #: Levels after which the lineage is cut, where a checkpoint folder is set.
 CUT = 16
 
@@ -53,17 +58,34 @@ def unpacked(data: bytes, size: int, keys: list) -> dict:
     return dict(zip(keys, rows, strict=True))
 
 
+def scenario_blocks(scenarios: DataFrame, prices: Mapping[PriceKey, str], path_id: str = "path_id") -> tuple[DataFrame, list[PriceKey]]:
+    """A scenario table (a row a path, a column a price) as blocks, and the order of their rows."""
+    keys = [PATH, *sorted(prices)]
+    columns = [path_id, *(prices[k] for k in keys[1:])]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 33
+        for rows in batches:
+            for k in range(0, len(rows), 8 * CHUNK):
+                part = rows.iloc[k : k + 8 * CHUNK].to_numpy(np.float64)
+                yield pd.DataFrame({"block": [number], "size": [len(part)], "data": [np.ascontiguousarray(part.T).tobytes()]})
+                number += 1
+
+    return scenarios.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).mapInPandas(pack, STATE), keys
+
+
 class BlockRunner:
-    """Values a program; ``chunk(number, size)`` makes the prices of a chunk of paths."""
+    """Values a program; ``chunk(number, size)`` makes the prices of a chunk of paths, or ``blocks`` has them by ``keys``."""
 
-    def __init__(self, spark: SparkSession, program: Program, setting: Setting, chunk: Callable[[int, int], dict], paths: int):
+    def __init__(self, spark: SparkSession, program: Program, setting: Setting, chunk: Callable[[int, int], dict] | None, paths: int, blocks: DataFrame | None = None, keys: list[PriceKey] = ()):
         self.spark, self.program, self.setting, self.chunk, self.paths = spark, program, setting, chunk, paths
+        self.given, self.given_keys = blocks, list(keys)
         chunks = -(-paths // CHUNK)
         self.parts = max(1, min(chunks, max(spark.sparkContext.defaultParallelism, chunks // 16)))
         self.chunks_a_block = max(1, min(8, -(-chunks // self.parts)))
         self.blocks = -(-chunks // self.chunks_a_block)
         self.depth = max((c.level for c in program.choices), default=0)
-        self.jobs = 0
+        self.jobs, self.state = 0, None
 
     def levels(self, number: int) -> list:
         return [c for c in self.program.choices if c.level == number]
@@ -71,7 +93,7 @@ class BlockRunner:
     def wanted(self, level: int) -> list:
         """Prices and choices made that are read at ``level`` or later, or by the report."""
         later = [c for c in self.program.choices if c.level >= level]
-        prices = set(self.report_prices()).union(*(c.prices for c in later))
+        prices = set(self.report_prices()) | {k for k in self.given_keys if k == PATH}.union(*(c.prices for c in later))
         reads = set(self.program.final_reads).union(*(c.reads for c in later))
         chosen = [(n, b) for n in sorted(reads) if self.program.choices[n].level < level for b in bumps_of(self.program, self.setting, self.program.choices[n].bumps)]
         return sorted(prices) + chosen
@@ -119,8 +141,8 @@ class BlockRunner:
                 made[c.number, b] = ys[best, np.arange(size)]
         return made
 
-    def run(self, finish: Callable[[dict, Evaluator, int, int], pd.DataFrame], schema: str, means: dict) -> DataFrame:
-        """Rows that ``finish(held, evaluator, first path, size)`` makes of each finished block."""
+    def run(self, finishes: list[tuple[Callable[[dict, Evaluator, int, int], pd.DataFrame], str]], means: dict) -> list[DataFrame]:
+        """For each of ``finishes`` the rows that it makes of (held, evaluator, first path, size) of each finished block, by its schema."""
         self.means = means
         spark = self.spark
         state, keys, fits = None, [], {}
@@ -128,22 +150,27 @@ class BlockRunner:
 
         def start(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, dict]]:
             for rows in batches:
+                if runner.given_keys:
+                    yield from ((int(b), int(n), unpacked(d, n, runner.given_keys)) for b, n, d in zip(rows["block"], rows["size"], rows["data"], strict=True))
+                    continue
                 for block in rows["id"]:
                     yield int(block), *runner.prices(int(block))
 
-        source = spark.range(0, self.blocks, 1, min(self.parts, self.blocks))
+        source = self.given if self.given is not None else spark.range(0, self.blocks, 1, min(self.parts, self.blocks))
         for level in range(1, self.depth + 1):
             state, keys, fits = self._step(runner, source if state is None else state, start if level == 1 else None, level, keys, fits)
         last = runner
 
-        def end(batches: Iterator[pd.DataFrame], keys=tuple(keys), fits=fits, depth=self.depth) -> Iterator[pd.DataFrame]:
+        def end(batches: Iterator[pd.DataFrame], finish: Callable, keys=tuple(keys), fits=fits, depth=self.depth) -> Iterator[pd.DataFrame]:
             blocks = start(batches) if not depth else ((int(b), int(n), unpacked(d, n, list(keys))) for rows in batches for b, n, d in zip(rows["block"], rows["size"], rows["data"], strict=True))
             for block, size, held in blocks:
                 if depth:
                     held |= last._choose(depth, held, size, fits)
                 yield finish(held, last._evaluator(held), block * last.chunks_a_block * CHUNK, size)
 
-        return (source if state is None else state.select("block", "size", "data")).mapInPandas(end, schema)
+        self.state = state
+        left = source if state is None else state.select("block", "size", "data")
+        return [left.mapInPandas(lambda batches, finish=finish: end(batches, finish), schema) for finish, schema in finishes]
 
     def _step(self, runner: BlockRunner, before: DataFrame, start: Callable | None, level: int, keys: list, fits: dict) -> tuple:
         keep = runner.wanted(level)
@@ -184,7 +211,7 @@ class BlockRunner:
             return pd.DataFrame({"sums": [np.sum([np.frombuffer(s, np.float64) for s in rows["sums"]], axis=0).tobytes()]})
 
         shares = state.select("block", "sums")
-        if self.blocks > 256:
+        if self.blocks > 256 or self.given is not None:
             shares = shares.groupBy(F.pmod("block", F.lit(64))).applyInPandas(lambda rows: add(rows), "sums binary")
         return np.sum([np.frombuffer(r["sums"], np.float64) for r in shares.select("sums").collect()], axis=0)
 
@@ -199,5 +226,5 @@ class BlockRunner:
     def _remote(self) -> BlockRunner:
         """This runner without its session, to be sent to executors."""
         other = object.__new__(BlockRunner)
-        other.__dict__ = {k: v for k, v in self.__dict__.items() if k != "spark"}
+        other.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("spark", "given", "state")}
         return other

@@ -509,7 +509,7 @@ def evaluation_counts(spark, sf_dir):
     """Nodes of a year of gas storage, and how often they are valued with monthly bumps."""
     source = """
 from pathval.models.storage import GasStorage
-GasStorage(Date('2011-4-1'), Date('2012-4-1'), Market('GAS'), 0, 50000, TimeDelta('1m'))
+GasStorage(Date('2011-4-1'), Date('2012-4-1'), 'GAS', 0, 50000, TimeDelta('1m'))
 """
     p = scenarios.contract(source, OBS, "monthly")
     return spark.createDataFrame([("gas storage", p.count, p.evaluations(), p.evaluations(False))], "contract string, nodes long, double_sided long, single_sided long")
@@ -585,7 +585,7 @@ def storage_intrinsic(spark, sf_dir):
     """Gas storage of two units over six months on a known curve."""
     source = """
 from pathval.models.storage import GasStorage
-GasStorage(Date('1998-1-1'), Date('1998-7-1'), Market('A'), 0, 2, TimeDelta('1m'))
+GasStorage(Date('1998-1-1'), Date('1998-7-1'), 'A', 0, 2, TimeDelta('1m'))
 """
     return spark.range(1).select(rounded(F.lit(intrinsic(spark, sf_dir, source))).alias("fair_value"))
 

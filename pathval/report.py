@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 from functools import cached_property
 from typing import Any
 
@@ -13,10 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathval.functions.dates import discount_factor
+from pathval.operators.blocks import PATH
 from pathval.plans.program import Program
 
 #: Rows that a finished block gives: one with the value, and one a path and period.
 SCHEMA = "path_id long, market_name string, delivery_date date, perturbation_name string, value double, delta double, hedge_units double, price_simulated double, price_discounted double, hedge_cost double, cash double"
+SHARES = "perturbation_name string, market_name string, delivery_date date, n long, " + ", ".join(f"{m}_n long, {m}_mean double, {m}_off double" for m in ("value", "delta", "hedge_units", "price_simulated", "price_discounted", "hedge_cost", "cash"))
 MEASURES = ["delta", "hedge_units", "price_simulated", "price_discounted", "hedge_cost", "cash"]
 #: Percent of paths between the bounds of a measure, unless said otherwise.
 CONFIDENCE = 95
@@ -45,12 +48,11 @@ class Finish:
         near = [k for k in held if isinstance(k[0], str) and k[0] == market and k[1] == k[2] and (k[1].year, k[1].month, k[1].day)[:depth] == (day.year, day.month, day.day)[:depth]]
         return sum(held[k] for k in near) / len(near)
 
-    def __call__(self, held: dict, ev, first: int, size: int) -> pd.DataFrame:
+    def measures(self, held: dict, ev, size: int) -> Iterator[tuple[str | None, str | None, dt.date | None, dict[str, np.ndarray]]]:
+        """The block's values, then the measures of each period: its name, market and day."""
         full = lambda x: np.broadcast_to(np.asarray(x, float), (size,))
         base = full(ev.node(0))
-        ids = np.arange(first, first + size)
-        none = {m: np.full(size, np.nan) for m in MEASURES}
-        frames = [pd.DataFrame({"path_id": ids, "market_name": None, "delivery_date": None, "perturbation_name": None, "value": base, **none})]
+        yield None, None, None, {"value": base}
         for name in self.periods:
             market, day = period_of(name)
             price = self.price(name, held)
@@ -61,27 +63,61 @@ class Finish:
             df = 1.0 if day is None else discount_factor(self.program.observation, day, self.rate)
             units = -delta / df
             cost = units * price * df
-            frames.append(pd.DataFrame({"path_id": ids, "market_name": market, "delivery_date": day, "perturbation_name": name, "value": np.nan, "delta": delta, "hedge_units": units, "price_simulated": price, "price_discounted": price * df, "hedge_cost": cost, "cash": -cost}))
+            yield name, market, day, dict(zip(MEASURES, (delta, units, price, price * df, cost, -cost), strict=True))
+
+    def __call__(self, held: dict, ev, first: int, size: int) -> pd.DataFrame:
+        """A row a path and period."""
+        ids = held[PATH].astype(np.int64) if PATH in held else np.arange(first, first + size)
+        frames = [pd.DataFrame({"path_id": ids, "market_name": market, "delivery_date": day, "perturbation_name": name, **{m: found.get(m, np.full(size, np.nan)) for m in ["value", *MEASURES]}}) for name, market, day, found in self.measures(held, ev, size)]
         return pd.concat(frames, ignore_index=True)
 
+    def shares(self, held: dict, ev, first: int, size: int) -> pd.DataFrame:
+        """A row a period: of each measure the number that are no NaN, their mean, and their squares' distance from it."""
+        rows = []
+        for name, market, day, found in self.measures(held, ev, size):
+            row = {"perturbation_name": name, "market_name": market, "delivery_date": day, "n": size}
+            for m in ["value", *MEASURES]:
+                x = found.get(m, np.empty(0))
+                x = x[~np.isnan(x)]
+                mean = float(x.mean()) if len(x) else 0.0
+                row |= {f"{m}_n": len(x), f"{m}_mean": mean, f"{m}_off": float(((x - mean) ** 2).sum())}
+            rows.append(row)
+        return pd.DataFrame(rows)
+
 
 class Results:
     """Result of a valuation.  ``paths`` has a row a path and period (see ``SCHEMA``), or is None for a plain value."""
 
-    def __init__(self, fair_value: Any, paths: DataFrame | None, program: Program, double_sided: bool, timings: dict[str, float]):
+    def __init__(self, fair_value: Any, paths: DataFrame | None, program: Program, double_sided: bool, timings: dict[str, float], shares: DataFrame | None = None, state: DataFrame | None = None):
         self.scalar, self.paths, self.program, self.double_sided, self.timings = fair_value, paths, program, double_sided, timings
+        self._shares, self._state = shares, state
+
+    def close(self) -> None:
+        """Gives back what executors keep of the valuation; what was read stays, paths would be made anew."""
+        if self._state is not None:
+            self._state.unpersist()
 
     @cached_property
     def summary(self) -> pd.DataFrame:
-        """Mean, standard error and number of paths of each measure by period; the value has no period."""
+        """Mean, standard error and number of paths of each measure by period; the value has no period.
+
+        Blocks send a row a period, so no more than that is gathered however many paths there are.
+        """
         if self.paths is None:
             return pd.DataFrame()
-        aggs = []
-        for m in ["value", *MEASURES]:
-            x = F.nanvl(F.col(m), F.lit(None).cast("double"))
-            aggs += [F.avg(x).alias(m), (F.stddev_pop(x) / F.sqrt(F.count(x))).alias(f"{m}_err")]
-        grouped = self.paths.groupBy("perturbation_name", "market_name", "delivery_date").agg(F.count("*").alias("n"), *aggs)
-        return grouped.toPandas()
+        by = ["perturbation_name", "market_name", "delivery_date"]
+        shares = self._shares.persist()
+        names = ["value", *MEASURES]
+        sums = [F.sum("n").alias("n")] + [F.sum(f"{m}_n").alias(f"{m}_count") for m in names] + [(F.sum(F.col(f"{m}_n") * F.col(f"{m}_mean")) / F.nullif(F.sum(f"{m}_n"), F.lit(0))).alias(m) for m in names]
+        whole = shares.groupBy(*by).agg(*sums)
+        off = shares.withColumnRenamed("n", "size").alias("s").join(F.broadcast(whole.alias("w")), F.expr("s.perturbation_name <=> w.perturbation_name"))
+        spread = off.groupBy(F.col("s.perturbation_name").alias("perturbation_name")).agg(*[(F.sqrt(F.sum(F.col(f"{m}_off") + F.col(f"{m}_n") * (F.col(f"{m}_mean") - F.col(m)) ** 2)) / F.first(f"{m}_count")).alias(f"{m}_err") for m in names])
+        found = {r["perturbation_name"]: r for r in spread.collect()}
+        out = whole.toPandas()
+        shares.unpersist()
+        for m in names:
+            out[f"{m}_err"] = [found[n][f"{m}_err"] if out[m].notna().iloc[k] else np.nan for k, n in enumerate(out["perturbation_name"].where(out["perturbation_name"].notna(), None))]
+        return out[[*by, "n", *(c for m in names for c in (m, f"{m}_err"))]]
 
     @property
     def fair_value(self) -> Any:

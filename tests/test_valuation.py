@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from pathval.api import Element, calc
+from pathval.api import Element, Engine, calc
 from pathval.errors import CallLimitError, DslError
 from pathval.operators import scenarios
 from pathval.sources import calibrate, curve, quotes
@@ -90,14 +90,156 @@ def test_two_markets(run):
     near(run("Max(Fixing('2012-01-01', Market('TTF')) * Fixing('2012-01-01', Market('NBP')) / 10.0, 0.0) - Max(Fixing('2013-01-01', Market('TTF')), 0)"), 0.954)
 
 
-def test_american(run):
+@pytest.mark.parametrize(("both", "delta"), [(True, 0.8008), (False, 0.811)])
+def test_american(run, both, delta):
+    """Daily exercise through January, on all paths."""
     text = """
 from pathval.models.options import American
-American(Date('2011-01-01'), Date('2011-02-01'), 9, Market('NBP'), TimeDelta('2d'))
+American(Date('2011-01-01'), Date('2011-02-01'), 9, Market('NBP'), TimeDelta('1d'))
 """
-    r = run(text, "alltime", path_count=8000)
-    near(r, 1.18, 6)
-    assert r.deltas["NBP"] == pytest.approx(0.8, abs=0.06)
+    r = run(text, "alltime", is_double_sided_deltas=both)
+    near(r, 1.1805)
+    assert r.deltas["NBP"] == pytest.approx(delta, abs=0.04)
+
+
+def test_options_to_import(run):
+    near(run("from pathval.models.options import European\nEuropean(Date('2012-01-11'), 9, Market('NBP'))"), 2.397)
+    near(run("from pathval.models.options import American\nAmerican(Date('2012-01-01'), Date('2012-01-11'), 5, Market('NBP'), TimeDelta('1d'))"), 5.0356)
+    put = run("from pathval.models.options import EuropeanPut\nEuropeanPut(Date('2012-01-01'), 9, Market('NBP'))")
+    call = run("from pathval.models.options import European\nEuropean(Date('2012-01-01'), 9, Market('NBP'))")
+    assert call.fair_value_mean - put.fair_value_mean == pytest.approx(math.exp(-0.025), abs=0.1)
+    later = run("from pathval.models.options import AmericanPut\nAmericanPut(Date('2011-07-01'), Date('2012-01-01'), 9, Market('NBP'), TimeDelta('3m'))")
+    assert later.fair_value_mean >= put.fair_value_mean - 0.05
+
+
+STOCK = """
+def Option(date, strike, x, y):
+    Wait(date, Choice(x - strike, y))
+def European(date, strike, underlying):
+    Option(date, strike, underlying, 0)
+def EuropeanStock(start, end, strike, name):
+    European(end, strike, Settlement(start, 1) * ForwardMarket(start, name))
+EuropeanStock(Date('2011-01-01'), Date('2012-01-01'), 9, 'NBP')
+"""
+
+
+def test_european_stock(run):
+    r = run(STOCK, "alltime")
+    near(r, 2.54659)
+    assert r.program.count == 4 and r.deltas["NBP"] == pytest.approx(0.7017, abs=0.02)
+
+
+def test_swing_on_forwards(run):
+    text = """
+def Swing(day, end, left):
+    if left == 0 or day >= end:
+        0
+    else:
+        Wait(day, Choice(
+            Swing(day + TimeDelta('1m'), end, left - 1) + ForwardMarket(day + TimeDelta('1m'), 'NBP'),
+            Swing(day + TimeDelta('1m'), end, left)))
+Swing(Date('2011-2-1'), Date('2011-5-1'), 30)
+"""
+    r = run(text, "monthly")
+    near(r, 29.872)
+    assert r.program.count == 11
+    p = r.periods.set_index("perturbation_name")
+    for name, delta in {"NBP-2011-3": 1.019, "NBP-2011-4": 1.020, "NBP-2011-5": 1.014}.items():
+        assert abs(p["delta"][name] - delta) < max(0.03, 5 * math.sqrt(2) * p["delta_err"][name])
+
+
+def test_two_swings(run):
+    text = """
+def Swing(day, end, underlying, left):
+    if left == 0 or day >= end:
+        0
+    else:
+        Choice(Later(day, end, underlying, left - 1) + Fixing(day, underlying), Later(day, end, underlying, left))
+@inline
+def Later(day, end, underlying, left):
+    Swing(day + TimeDelta('1d'), end, underlying, left)
+Swing(Date('2011-1-1'), Date('2011-1-4'), Market('#1'), 2) * 1 + Swing(Date('2011-1-1'), Date('2011-1-4'), Market('#2'), 2) * 2
+"""
+    r = run(text, "alltime")
+    assert r.fair_value_mean == pytest.approx(60.0, abs=0.2) and r.program.count == 19
+    assert r.deltas["#1"] == pytest.approx(2.0, abs=0.02) and r.deltas["#2"] == pytest.approx(4.0, abs=0.04)
+
+
+def plant(end):
+    """Runs at the price of the day, at 0.9 and 0.8 of it after one and more idle days (fixed values)."""
+    return f"""
+def Plant(day, end, price, idle):
+    Wait(day, Choice(
+        Plant(day + TimeDelta('1d'), end, price, 0) + (1.0 - 0.1 * idle) * Fixing(day, price),
+        Plant(day + TimeDelta('1d'), end, price, Min(2, idle + 1)))) if day < end else 0
+Plant(Date('2012-01-01'), Date('{end}'), Market('SPARKSPREAD'), 0)
+"""
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_plant_on_the_spread(run, both):
+    r = run(plant("2012-01-13"), "monthly", is_double_sided_deltas=both)
+    near(r, 11.719)
+    assert r.program.count == 37 and r.deltas["SPARKSPREAD-2012-1"] == pytest.approx(11.699, abs=0.25)
+
+
+def test_plants_grow_by_three_nodes_a_day():
+    counts = [scenarios.contract(plant(f"2012-01-{d}"), OBS).count for d in (5, 13, 14, 15, 16)]
+    assert counts == [13, 37, 40, 43, 46]
+
+
+def test_plant_on_forwards_of_two_markets(run):
+    text = """
+from pathval.models.powerplant import PowerPlant
+PowerPlant(Date('2012-1-1'), Date('2012-1-13'), 'TTF', 'NBP', 2, TimeDelta('1d'))
+"""
+    r = run(text)
+    near(r, 24.77555)
+    assert r.program.count == 37
+
+
+@pytest.mark.parametrize(
+    ("start", "end", "quantity", "limit", "sigma", "value", "nodes"),
+    [
+        ("2011-1-1", "2011-3-1", 0, 0, 0.5, 0.0, 2),
+        ("2011-1-1", "2011-3-1", 0, 10, 0.5, 0.0, 7),
+        ("2013-1-1", "2013-3-1", 0, 10, 0.5, -0.001, 7),
+        ("2011-1-1", "2011-3-1", 2, 2, 0.5, 19.982, 7),
+        ("2011-1-1", "2011-3-1", 2, 2, 0.0, 19.979, 7),
+        ("2021-1-1", "2021-3-1", 2, 2, 0.5, 15.971, 7),
+        ("2021-1-1", "2021-3-1", 0, 2, 0.5, 0.0024, 7),
+        ("2011-1-1", "2011-4-1", 0, 3, 0.5, None, 11),
+        ("2011-1-1", "2011-5-1", 0, 3, 0.5, None, 15),
+        ("2011-1-1", "2011-6-1", 0, 3, 0.5, None, 19),
+    ],
+)
+def test_storage_grid(run, start, end, quantity, limit, sigma, value, nodes):
+    text = f"""
+from pathval.models.storage import GasStorage
+GasStorage(Date('{start}'), Date('{end}'), 'NBP', {quantity}, {limit}, TimeDelta('1m'))
+"""
+    assert scenarios.contract(text, OBS).count == nodes
+    if value is not None:
+        r = run(text, price_process=model([sigma] * 5))
+        assert abs(r.fair_value_mean - value) <= max(0.01, 4 * math.sqrt(2) * r.fair_value_error)
+
+
+@pytest.mark.parametrize(("periodisation", "value", "periods"), [("monthly", 8.7977, 6), ("alltime", 8.749, 1), (None, 8.6359, 0)])
+def test_storage_to_a_target(spark, periodisation, value, periods):
+    from pathval.bench_contracts import GAS_BY_MONTH
+
+    text = """
+from pathval.models.storage import GasStorageToTarget
+GasStorageToTarget(Date('2011-6-1'), Date('2011-12-1'), 'GAS', 0, 0, 50000, TimeDelta('1m'), 1)
+"""
+    r = calc(text, OBS, 2.5, periodisation=periodisation, price_process={"market": ["GAS"], "sigma": [0.5], "curve": {"GAS": GAS_BY_MONTH}}, spark=spark)
+    assert r.fair_value_mean == pytest.approx(value, abs=0.5) and len(r.periods) == periods
+
+
+def test_a_missed_target_is_a_breach(run):
+    text = "from pathval.models.storage import GasStorageToTarget\nGasStorageToTarget(Date('2011-1-1'), Date('2011-1-2'), 'NBP', 0, {}, 9, TimeDelta('1d'), 2)"
+    assert run(text.format(5), path_count=100).fair_value_mean < -1e15
+    assert run(text.format(2), path_count=100).fair_value_mean == pytest.approx(-20)
 
 
 def test_swing(run):
@@ -211,13 +353,47 @@ def test_timeout(run):
         run("0" + days, "daily", path_count=60_000, timeout=0.2)
 
 
-def test_storage_and_power_plant_models(spark):
+def test_published_contracts(spark):
+    """The two published runs: values, hedges by period, sizes of the graphs."""
     from pathval.bench_contracts import gas_storage, power_plant
 
-    gas, power = gas_storage(spark, 2000), power_plant(spark, 2000)
-    assert len(gas.periods) == 12 and gas.fair_value_mean > 0
-    assert power.program.count == 13 and len(power.periods) == 8 and power.fair_value_mean > 0
-    assert gas.program.count == 92 and gas.program.evaluations() == 844
+    gas, power = gas_storage(spark), power_plant(spark)
+    near(gas, 20.78)
+    assert len(gas.periods) == 12 and gas.program.count == 92 and gas.program.evaluations() == 844
+    near(power, 12.82)
+    assert len(power.periods) == 8 and power.program.count == 13
+    # Published deltas.
+    wanted = {"GAS-2012-1-2": -0.05, "POWER-2012-1-2": 0.02, "GAS-2012-1-3": -0.98, "POWER-2012-1-3": 0.32, "GAS-2012-1-4": -0.98, "POWER-2012-1-4": 0.98, "GAS-2012-1-5": -0.49, "POWER-2012-1-5": 0.49}
+    assert set(power.deltas) == set(wanted) and all(power.deltas[n] == pytest.approx(d, abs=0.02) for n, d in wanted.items())
+    power.close()
+
+
+def test_summary_equals_the_paths(run):
+    r = run(BERMUDAN, "monthly", path_count=3500)
+    rows = r.paths.toPandas()
+    for _, s in r.summary.iterrows():
+        mine = rows[rows["perturbation_name"].isna() if s["perturbation_name"] is None or s["perturbation_name"] != s["perturbation_name"] else rows["perturbation_name"] == s["perturbation_name"]]
+        for m in ("value", "delta", "cash", "price_simulated"):
+            x = mine[m].dropna()
+            if len(x):
+                assert s[m] == pytest.approx(x.mean(), rel=1e-12) and s[f"{m}_err"] == pytest.approx(x.std(ddof=0) / math.sqrt(len(x)), rel=1e-9, abs=1e-12)
+            else:
+                assert math.isnan(s[m]) and math.isnan(s[f"{m}_err"])
+
+
+def test_blocks_of_a_scenario_table(spark):
+    """The block engine on a table of prices gives what the column engine gives, path by path."""
+    program = scenarios.contract(BERMUDAN, OBS, "monthly")
+    process = BlackScholes(Market.from_params(model()), OBS, sorted(program.prices))
+    table, named = process.columns(spark.range(0, 9000, 1, 3).select((F.col("id") * 7).alias("path_id")))
+    want = {r["path_id"]: r["v"] for r in scenarios.value(table, named, program, 2.5).select("path_id", "v").collect()}
+    engine = Engine(spark)
+    got = engine.evaluate(engine.compile(BERMUDAN, OBS), interest_rate=2.5, periodisation="monthly", scenarios=(table, named))
+    rows = {r["path_id"]: r["value"] for r in got.fair_value.collect()}
+    assert set(rows) == set(want)
+    assert sum(abs(rows[k] - v) > 1e-9 for k, v in want.items()) <= 2  # paths on the very edge of a choice
+    with pytest.raises(DslError):
+        engine.evaluate(engine.compile(BERMUDAN, OBS), scenarios=(table, {}))
 
 
 class Doubling:
