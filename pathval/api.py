@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import importlib
-import threading
 import time
-import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -14,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathval.errors import DslError
+from pathval.errors import DslError, InterruptSignalReceived
 from pathval.functions.dates import as_date
 from pathval.operators.blocks import BlockRunner, Setting, scenario_blocks
 from pathval.operators.evaluate import Arrays, Evaluator
@@ -23,6 +21,7 @@ from pathval.plans.program import PriceKey, Program, build, required_prices
 from pathval.plans.unfold import Node, Unfolder
 from pathval.report import SCHEMA, SHARES, Finish, Results
 from pathval.sources.gbm import BlackScholes, Market
+from pathval.watch import Watch
 
 PATHS, FACTOR, LIMIT = 20_000, 0.01, 10_000
 BLACK_SCHOLES = "black-scholes"
@@ -88,7 +87,7 @@ class Engine:
         random = frozenset(n for n, e in self.elements.items() if e.stochastic)
         return Contract(source, day, Unfolder(module, day, self.limit, random).nodes(), self.elements)
 
-    def evaluate(self, contract: Contract, price_process: Mapping | None = None, *, interest_rate: float = 0.0, path_count: int = PATHS, perturbation_factor: float = FACTOR, periodisation: str | None = None, is_double_sided_deltas: bool = True, seed: int = 0, scenarios: tuple[DataFrame, Mapping[PriceKey, str]] | None = None) -> Results:
+    def evaluate(self, contract: Contract, price_process: Mapping | None = None, *, interest_rate: float = 0.0, path_count: int = PATHS, perturbation_factor: float = FACTOR, periodisation: str | None = None, is_double_sided_deltas: bool = True, seed: int = 0, scenarios: tuple[DataFrame, Mapping[PriceKey, str]] | None = None, watch: Watch | None = None) -> Results:
         """The contract's value, lazily: jobs run for the choices, the rest when results are read.
 
         ``scenarios``, a table with a ``path_id`` and a column for each price, stands in for a price process.
@@ -101,6 +100,8 @@ class Engine:
             for n in program.order:
                 ev.node(n)
             return Results(ev.node(0), None, program, is_double_sided_deltas, {"evaluate": time.time() - began})
+        if watch is not None:
+            watch.start()
         finish = Finish(program, setting.rate, setting.factor, is_double_sided_deltas)
         spots = {(m, c.present, c.present) for c in program.choices for m in program.markets}
         if scenarios is not None:
@@ -116,7 +117,7 @@ class Engine:
             process = cls(Market.from_params(params), program.observation, required_prices(program), seed)
             means = {(m, day): process.scale((m, day, day))[0] or 1.0 for m, day, _ in spots}
             runner = BlockRunner(self.spark, program, setting, process.chunk, path_count)
-        paths, shares = runner.run([(finish, SCHEMA), (finish.shares, SHARES)], means)
+        paths, shares = runner.run([(finish, SCHEMA), (finish.shares, SHARES)], means, watch)
         return Results(None, paths, program, is_double_sided_deltas, {"levels": time.time() - began}, shares, runner.state)
 
 
@@ -127,41 +128,24 @@ def _no_price(*key: object) -> Any:
 def calc(source_code: str, observation_date: object = None, interest_rate: float = 0.0, path_count: int = PATHS, perturbation_factor: float = FACTOR, price_process: Mapping | None = None, periodisation: str | None = None, dsl_classes: Mapping[str, Element] | None = None, max_dependency_graph_size: int = LIMIT, timeout: float | None = None, is_double_sided_deltas: bool = True, verbose: bool = False, spark: SparkSession | None = None, seed: int = 0) -> Results:
     """Value a contract.
 
-    ``timeout`` in seconds stops its jobs and exits.  ``seed`` fixes the paths.
+    ``timeout`` in seconds, SIGINT and SIGTERM stop its jobs and exit; it exits early when the time
+    left goes beyond the timeout.  ``verbose`` prints progress.  ``seed`` fixes the paths.
     """
     engine = Engine(spark, dsl_classes, max_dependency_graph_size)
-    began = time.time()
-    contract = engine.compile(source_code, observation_date)
-    compiled = time.time()
-    if verbose:
-        print(f"{contract.call_count} nodes, compiled in {compiled - began:.3f} s")
-    tag, over = f"pathval-{uuid.uuid4().hex}", threading.Event()
-    timer = None
-    if timeout is not None:
-
-        def stop() -> None:
-            over.set()
-            engine.spark.interruptTag(tag)
-
-        timer = threading.Timer(max(0.0, timeout - (compiled - began)), stop)
-        timer.daemon = True
-        engine.spark.addTag(tag)
-        timer.start()
     try:
-        results = engine.evaluate(contract, price_process, interest_rate=interest_rate, path_count=path_count, perturbation_factor=perturbation_factor, periodisation=periodisation, is_double_sided_deltas=is_double_sided_deltas, seed=seed)
-        results.summary  # noqa: B018  runs the last job within the timeout
-    except Exception:
-        if over.is_set():
-            raise SystemExit(1) from None
-        raise
-    finally:
-        if timer is not None:
-            timer.cancel()
-            engine.spark.removeTag(tag)
-    if over.is_set():
-        raise SystemExit(1)
+        with Watch(lambda: engine.spark, timeout, verbose) as watch:
+            began = time.time()
+            contract = engine.compile(source_code, observation_date)
+            compiled = time.time()
+            if verbose:
+                print(f"{contract.call_count} nodes, compiled in {compiled - began:.3f} s", flush=True)
+            results = engine.evaluate(contract, price_process, interest_rate=interest_rate, path_count=path_count, perturbation_factor=perturbation_factor, periodisation=periodisation, is_double_sided_deltas=is_double_sided_deltas, seed=seed, watch=watch)
+            results.summary  # noqa: B018  runs the last job while it is watched
+    except (TimeoutError, InterruptSignalReceived) as e:
+        print(e, flush=True)
+        raise SystemExit(1) from None
     results.timings |= {"compile": compiled - began, "evaluate": time.time() - compiled}
     if verbose:
         n = results.program.evaluations(is_double_sided_deltas)
-        print(f"{n} evaluations in {results.timings['evaluate']:.3f} s")
+        print(f"{n} evaluations in {results.timings['evaluate']:.3f} s", flush=True)
     return results

@@ -23,6 +23,7 @@ from pathval.operators.evaluate import Arrays, Evaluator
 from pathval.operators.regression import basis, solve
 from pathval.plans.program import PriceKey, Program
 from pathval.sources.gbm import CHUNK
+from pathval.watch import Watch
 
 STATE = "block long, size int, data binary"
 #: Stands among a block's prices for the numbers of its paths, where these are not a run of numbers.
@@ -141,7 +142,7 @@ class BlockRunner:
                 made[c.number, b] = ys[best, np.arange(size)]
         return made
 
-    def run(self, finishes: list[tuple[Callable[[dict, Evaluator, int, int], pd.DataFrame], str]], means: dict) -> list[DataFrame]:
+    def run(self, finishes: list[tuple[Callable[[dict, Evaluator, int, int], pd.DataFrame], str]], means: dict, watch: Watch | None = None) -> list[DataFrame]:
         """For each of ``finishes`` the rows that it makes of (held, evaluator, first path, size) of each finished block, by its schema."""
         self.means = means
         spark = self.spark
@@ -159,6 +160,9 @@ class BlockRunner:
         source = self.given if self.given is not None else spark.range(0, self.blocks, 1, min(self.parts, self.blocks))
         for level in range(1, self.depth + 1):
             state, keys, fits = self._step(runner, source if state is None else state, start if level == 1 else None, level, keys, fits)
+            if watch is not None:
+                work = [len(self._targets(k)) for k in range(1, self.depth + 1)]
+                watch.step(sum(work[:level]), sum(work) + len(bumps_of(self.program, self.setting, self.program.bumps[0])))
         last = runner
 
         def end(batches: Iterator[pd.DataFrame], finish: Callable, keys=tuple(keys), fits=fits, depth=self.depth) -> Iterator[pd.DataFrame]:
@@ -186,7 +190,9 @@ class BlockRunner:
                 yield pd.DataFrame({"block": [block], "size": [size], "data": [packed(held, out_keys)], "sums": [sums]})
 
         state = before.mapInPandas(step, STATE + ", sums binary").persist()
-        if level % CUT == 0 and self.spark.sparkContext.getCheckpointDir():
+        if level % CUT == 0 and (folder := self.spark.conf.get("spark.checkpoint.dir", None)):
+            if not self.spark.sparkContext.getCheckpointDir():
+                self.spark.sparkContext.setCheckpointDir(folder)
             state = state.checkpoint()
         total = self._summed(state)
         self.jobs += 1

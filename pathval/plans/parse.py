@@ -21,10 +21,15 @@ def find_source(module: str) -> str:
         spec = importlib.util.find_spec(module)
     except (ImportError, ValueError):
         spec = None
-    if spec is None or not spec.origin:
+    if spec is None:
         raise DslSyntaxError("no such module", module)
-    with open(spec.origin) as f:
-        return f.read()
+    if not spec.has_location or not (spec.origin or "").endswith(".py"):
+        raise DslSyntaxError("a module without source text", module)
+    try:
+        with open(spec.origin, encoding="utf-8") as f:
+            return f.read()
+    except (OSError, UnicodeDecodeError) as e:
+        raise DslSyntaxError("a module cannot be read", f"{module}: {e}") from None
 
 
 class Parser:

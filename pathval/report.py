@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import statistics
 from collections.abc import Iterator
 from functools import cached_property
 from typing import Any
@@ -194,6 +195,32 @@ class Results:
             raise ValueError("no periods to plot")
         return self.periods[["delivery_date", "market_name", "price_simulated", "price_simulated_err", "hedge_units", "hedge_units_err", "cash", "cash_err"]]
 
+    def plot(self, title: str = "", confidence: float = CONFIDENCE, block: bool = False, pause: float = 0, figsize: tuple[float, float] | None = None) -> Any:
+        """Three panels of bars by date: market prices, hedges, cash so far; whiskers span ``confidence`` percent of a mean's error.
+
+        Needs matplotlib, which the engine does not depend on otherwise.  Gives the figure.
+        """
+        rows = self.plot_frame()
+        import matplotlib.pyplot as plt
+
+        wide = statistics.NormalDist().inv_cdf(0.5 + confidence / 200)
+        pivot = lambda c: rows.pivot_table(index="delivery_date", columns="market_name", values=c, dropna=False)
+        cash = rows.groupby("delivery_date")["cash"].sum().cumsum()
+        off = (rows["cash_err"] ** 2).groupby(rows["delivery_date"]).sum().cumsum() ** 0.5 * wide
+        fig, (top, middle, bottom) = plt.subplots(3, 1, sharex=True, figsize=figsize)
+        fig.suptitle(title or f"{self.program.observation}, bounds {confidence} %")
+        pivot("price_simulated").plot(ax=top, kind="bar", yerr=pivot("price_simulated_err") * wide, title="Market prices")
+        pivot("hedge_units").plot(ax=middle, kind="bar", yerr=pivot("hedge_units_err") * wide, title="Hedges")
+        cash.plot(ax=bottom, kind="bar", yerr=off, title="Cash", color="g")
+        for ax in (middle, bottom):
+            ax.axhline(0, color="0.5")
+        fig.autofmt_xdate(rotation=30)
+        if pause and not block:
+            plt.pause(pause)
+        else:
+            plt.show(block=block)
+        return fig
+
     def __str__(self) -> str:
         lines = []
         for _, p in self.periods.iterrows():

@@ -321,3 +321,11 @@ def test_price_process_errors():
     bad = {"market": ["A", "B"], "sigma": [1, 1], "rho": [[1, 2], [2, 1]], "curve": {"A": [("2011-1-1", 1)], "B": [("2011-1-1", 1)]}}
     with pytest.raises(errors.DslError):
         Market.from_params(bad).mixing(["A", "B"])
+
+
+@pytest.mark.parametrize("module", ["os", "sys", "zipimport", "no.such", "math", "encodings.idna.nothing"])
+def test_modules_without_contracts(module):
+    from pathval.errors import DslSyntaxError
+
+    with pytest.raises(DslSyntaxError):
+        Parser().parse(f"from {module} import path_of_nothing")

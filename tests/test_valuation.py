@@ -353,6 +353,52 @@ def test_timeout(run):
         run("0" + days, "daily", path_count=60_000, timeout=0.2)
 
 
+def test_progress_and_time_left():
+    from pathval import watch
+
+    class Jobs:
+        def __init__(self):
+            self.seen = []
+
+        def __getattr__(self, name):
+            return lambda tag: self.seen.append(name)
+
+    now, jobs = [0.0], Jobs()
+    w = watch.Watch(lambda: jobs, timeout=100.0, clock=lambda: now[0])
+    with pytest.raises(TimeoutError, match="left"), w:
+        w.start()
+        now[0] = 10.0
+        w.step(1, 100)  # too early to believe in 990 s left
+        now[0] = 20.0
+        w.step(30, 100)  # 47 s left
+        now[0] = 60.0
+        w.step(31, 100)
+    assert jobs.seen == ["addTag", "interruptTag", "removeTag"]
+
+
+@pytest.mark.parametrize("name", ["SIGINT", "SIGTERM"])
+def test_signals_stop_a_valuation(run, capsys, name):
+    import os
+    import signal
+    import threading
+
+    number, before = getattr(signal, name), signal.getsignal(getattr(signal, name))
+    days = "".join(f" + Wait('2011-{m}-{d}', Choice(Market('NBP') - 9, 0))" for m in range(2, 5) for d in range(1, 25))
+    timer = threading.Timer(1.0, os.kill, [os.getpid(), number])
+    timer.start()
+    with pytest.raises(SystemExit):
+        run("0" + days, "daily", path_count=60_000, verbose=True)
+    timer.join()
+    assert signal.getsignal(number) == before and f"stopped by {name}" in capsys.readouterr().out
+    assert run("Market('NBP')", path_count=100).fair_value_mean == pytest.approx(10)
+
+
+def test_verbose_tells_progress(run, capsys):
+    run(BERMUDAN, "monthly", path_count=500, verbose=True)
+    said = capsys.readouterr().out
+    assert "nodes, compiled" in said and "% " not in said.split("evaluations in")[-1] and "s left" in said
+
+
 def test_published_contracts(spark):
     """The two published runs: values, hedges by period, sizes of the graphs."""
     from pathval.bench_contracts import gas_storage, power_plant
