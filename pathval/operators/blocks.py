@@ -3,7 +3,7 @@
 A block holds what later levels still read, as one binary matrix: prices, choices made, and
 the alternatives of the level in hand.  A level's job adds its share of the normal equations;
 shares are summed on the executors before the driver solves them, and the next job chooses and
-goes on.  Blocks are functions of their number and the seed, or rows of a scenario table, so
+goes on.  Paths that fit in one block need one task only.  Blocks are functions of their number and the seed, or rows of a scenario table, so
 lost ones are made again.
 """
 
@@ -157,6 +157,16 @@ class BlockRunner:
                 for block in rows["id"]:
                     yield int(block), *runner.prices(int(block))
 
+        alone = self.given is None and self.blocks == 1
+
+        def only(batches: Iterator[pd.DataFrame], finish: Callable) -> Iterator[pd.DataFrame]:
+            for block, size, held in start(batches):
+                held = runner._alone(held, size)
+                yield finish(held, runner._evaluator(held), 0, size)
+
+        if alone:  # one task does all of it: no job a level
+            one = spark.range(0, 1, 1, 1)
+            return [one.mapInPandas(lambda batches, finish=finish: only(batches, finish), schema) for finish, schema in finishes]
         source = self.given if self.given is not None else spark.range(0, self.blocks, 1, min(self.parts, self.blocks))
         for level in range(1, self.depth + 1):
             state, keys, fits = self._step(runner, source if state is None else state, start if level == 1 else None, level, keys, fits)
@@ -196,6 +206,13 @@ class BlockRunner:
             state = state.checkpoint()
         total = self._summed(state)
         self.jobs += 1
+        fits = self._fitted(level, total)
+        if level > 1:
+            before.unpersist()
+        return state, out_keys, fits
+
+    def _fitted(self, level: int, total: np.ndarray) -> dict:
+        """Coefficients of a level's alternatives, from the sums over all blocks."""
         fits, at, k = {}, 0, 1 + 2 * len(self.program.markets) + len(self.program.markets) * (len(self.program.markets) - 1) // 2
         for c in self.levels(level):
             bumps, n = bumps_of(self.program, self.setting, c.bumps), len(c.expr.args)
@@ -206,9 +223,16 @@ class BlockRunner:
             solved = solve(gram, moments)
             for j, b in enumerate(bumps):
                 fits[c.number, b] = solved[:, j * n : (j + 1) * n]
-        if level > 1:
-            before.unpersist()
-        return state, out_keys, fits
+        return fits
+
+    def _alone(self, held: dict, size: int) -> dict:
+        """All levels of a block that is the only one: its sums are those of all paths."""
+        for level in range(1, self.depth + 1):
+            found, sums = self._alternatives(level, held, size)
+            made = self._choose(level, held | found, size, self._fitted(level, np.frombuffer(sums)))
+            held |= made
+            held = {k: held[k] for k in self.wanted(level + 1)}
+        return held
 
     def _summed(self, state: DataFrame) -> np.ndarray:
         """The blocks' shares added up, on the executors while there are many."""

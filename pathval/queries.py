@@ -68,6 +68,24 @@ def valued(spark: SparkSession, sf_dir: str, source: str, periodisation: str | N
     return scenarios.value(df, named, program, RATE, BUMP, double_sided), named, program
 
 
+def plain(spark: SparkSession, source: str, day: dt.date):
+    """The value of a contract that needs no prices, seen on a day."""
+    from pathval.api import Engine
+
+    engine = Engine(spark)
+    return engine.evaluate(engine.compile(source, day)).fair_value
+
+
+def by_blocks(spark: SparkSession, sf_dir: str, source: str, periodisation: str | None = None):
+    """What the block engine makes of a contract on the prices of :func:`simulated`."""
+    from pathval.api import Engine
+
+    engine = Engine(spark)
+    compiled = engine.compile(source, OBS)
+    scenarios = simulated(spark, sf_dir, sorted(compiled.program(periodisation).prices))
+    return engine.evaluate(compiled, interest_rate=RATE, periodisation=periodisation, scenarios=scenarios)
+
+
 def stats(df: DataFrame, col: str = "v") -> DataFrame:
     err = F.stddev_pop(col) / F.sqrt(F.count(col))
     return df.agg(rounded(F.avg(col)).alias("fair_value"), rounded(err).alias("std_error"), F.count(col).alias("paths"))
@@ -112,16 +130,22 @@ def max_min_payoff(spark, sf_dir):
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice > 100000 AND day(o_orderdate) = 1 THEN 'first' WHEN o_totalprice <= 1000 OR o_totalprice >= 400000 THEN 'edge' ELSE 'other' END AS class FROM orders""")
 def compare_bool(spark, sf_dir):
-    """Comparisons and logic as column predicates."""
-    p, first = F.col("o_totalprice"), F.dayofmonth("o_orderdate") == 1
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when((p > 100000) & first, "first").when((p <= 1000) | (p >= 400000), "edge").otherwise("other").alias("class"))
+    """Comparisons and logic in a contract's conditions, for the least price between two bounds on each day of a month."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("p"), F.dayofmonth("o_orderdate").alias("d"), F.col("o_orderdate").cast("date").alias("day"))
+    o = o.withColumn("band", F.when(F.col("p") <= 1000, 0).when(F.col("p") <= 100000, 1).when(F.col("p") < 400000, 2).otherwise(3))
+    source = "1 if {p!r} > 100000 and IsDayOfMonth(1) else 2 if {p!r} <= 1000 or {p!r} >= 400000 else 3"
+    cases = o.groupBy("d", "band").agg(F.min("p").alias("p"), F.min("day").alias("day")).collect()  # at most 124
+    told = [(r["d"], r["band"], ("first", "edge", "other")[int(plain(spark, source.format(p=float(r["p"])), r["day"])) - 1]) for r in cases]
+    return o.join(F.broadcast(spark.createDataFrame(told, "d int, band int, class string")), ["d", "band"]).select("o_orderkey", "class")
 
 
 @query("SELECT date_trunc('month', o_orderdate)::DATE::VARCHAR AS month, count(*) FILTER (day(o_orderdate) = 1)::BIGINT AS firsts, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def is_day_of_month(spark, sf_dir):
-    """Rows on the first of each month."""
-    first = (F.dayofmonth("o_orderdate") == 1).cast("long")
-    return table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").cast("string").alias("month")).agg(F.sum(first).alias("firsts"), F.count("*").alias("n"))
+    """Rows on the first of each month, as a contract's condition tells for each day of the calendar."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    days = [r[0] for r in o.distinct().collect()]  # the calendar's days, some thousand at most
+    firsts = spark.createDataFrame([(d, int(plain(spark, "1 if IsDayOfMonth(1) else 0", d))) for d in days], "day date, first long")
+    return o.join(F.broadcast(firsts), "day").groupBy(F.trunc("day", "month").cast("string").alias("month")).agg(F.sum("first").alias("firsts"), F.count("*").alias("n"))
 
 
 #: The year fraction of dates a and b, spelt out.
@@ -182,13 +206,13 @@ def fib(spark, sf_dir):
 # --- sources and calibration ---------------------------------------------------------------
 
 
-@query("""WITH q AS (SELECT o_orderpriority AS market, o_orderdate::DATE AS day, avg(o_totalprice) AS price FROM orders WHERE day(o_orderdate) % 9 = 1 GROUP BY 1, 2),
+@query("""WITH q AS (SELECT o_orderpriority AS market, o_orderdate::DATE AS day, avg(o_totalprice) AS price FROM orders GROUP BY 1, 2),
  w AS (SELECT o_orderpriority AS market, l_shipdate::DATE AS day FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
  SELECT w.market, w.day::VARCHAR AS day, round(q.price, 4) AS price, count(*)::BIGINT AS n FROM w ASOF LEFT JOIN q ON w.market = q.market AND w.day >= q.day GROUP BY 1, 2, 3""")
 def curve_zoh(spark, sf_dir):
     """The last quote on or before each day: an as-of join."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("market"), F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
-    q = o.where(F.dayofmonth("day") % 9 == 1).groupBy("market", "day").agg(F.avg("o_totalprice").alias("price"))
+    q = o.groupBy("market", "day").agg(F.avg("o_totalprice").alias("price"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").alias("day"))
     w = li.join(o.select("o_orderkey", "market"), "o_orderkey").groupBy("market", "day").agg(F.count("*").alias("n"))
     return curve.as_of(w, q, "market", "day", "price").select("market", F.col("day").cast("string").alias("day"), rounded("price", 4).alias("price"), "n")
@@ -269,11 +293,11 @@ def brownian(spark, sf_dir):
     return df.select("path_id", *[rounded(motion(m, d)).alias(f"{m.lower()}{k}") for m in "AB" for k, d in ((1, D1), (2, D2))])
 
 
-@query(f"WITH {PATHS} SELECT path_id, 'A' AS market, '{D1}' AS fixing_date, round(pa1, 6) AS price FROM p UNION ALL SELECT path_id, 'A', '{D2}', round(pa2, 6) FROM p")
+@query(f"WITH {PATHS} SELECT path_id, 'A' AS market, '{D1}' AS fixing_date, round(pa1, 6) AS price FROM p UNION ALL SELECT path_id, 'A', '{D2}', round(pa2, 6) FROM p UNION ALL SELECT path_id, 'B', '{D1}', round(pb1, 6) FROM p UNION ALL SELECT path_id, 'B', '{D2}', round(pb2, 6) FROM p")
 def gbm_price(spark, sf_dir):
-    """Prices of one market, as rows."""
+    """Prices as rows."""
     df, named = simulated(spark, sf_dir, [(m, d, d) for m in "AB" for d in (D1, D2)])
-    return quotes.tall(df, named).where("market = 'A'").select("path_id", "market", F.col("fixing_date").cast("string").alias("fixing_date"), rounded("price").alias("price"))
+    return quotes.tall(df, named).select("path_id", "market", F.col("fixing_date").cast("string").alias("fixing_date"), rounded("price").alias("price"))
 
 
 @query(f"WITH {PATHS} SELECT round(avg(pa2), 6) AS mean_a, round(avg(pb2), 6) AS mean_b, round(corr(ln(pa2), ln(pb2)), 6) AS rho FROM p")
@@ -540,11 +564,16 @@ def own_element(spark, sf_dir):
     return df.select("l_orderkey", rounded("v", 4).alias("v"))
 
 
-@query(f"WITH {DAILY} SELECT date::VARCHAR AS date, price FROM daily WHERE market = 'click'")
+@query(f"WITH {DAILY} SELECT market, date::VARCHAR AS date, price FROM daily")
 def csv_text(spark, sf_dir):
-    """A series to CSV text and back."""
-    q = daily_quotes(spark, sf_dir).where("market = 'click'")
-    return quotes.from_csv_text(spark, quotes.to_csv_text(q)).withColumn("date", F.col("date").cast("string"))
+    """Each market's series to CSV text and back."""
+    from functools import reduce
+
+    q = daily_quotes(spark, sf_dir).persist()
+    markets = [r[0] for r in q.select("market").distinct().orderBy("market").collect()]
+    back = [quotes.from_csv_text(spark, quotes.to_csv_text(q.where(F.col("market") == m))).withColumn("market", F.lit(m)) for m in markets]
+    q.unpersist()
+    return reduce(DataFrame.unionByName, back).select("market", F.col("date").cast("string").alias("date"), "price")
 
 
 @query(f"WITH {PATHS} SELECT path_id, round(pa1, 6) AS near, round(pa2, 6) AS far FROM p")
@@ -560,50 +589,151 @@ def scenario_table(spark, sf_dir):
 
 
 def monthly_curve(spark: SparkSession, sf_dir: str) -> list[tuple[str, float]]:
-    """Mean order value of each month of 1998, in thousands: twelve rows."""
-    o = table(spark, sf_dir, "orders").where(F.year("o_orderdate") == 1998)
-    rows = o.groupBy(F.trunc("o_orderdate", "month").alias("m")).agg(F.round(F.avg("o_totalprice") / 1000, 3).alias("p")).orderBy("m").collect()
+    """Mean order value of each month, in thousands: a row a month of the calendar."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("m")).agg(F.round(F.avg("o_totalprice") / 1000, 3).alias("p")).orderBy("m").collect()
     return [(r["m"].isoformat(), r["p"]) for r in rows]
 
 
 def intrinsic(spark: SparkSession, sf_dir: str, source: str) -> float:
-    """A contract's value on the curve without randomness: one path."""
+    """A contract's value on the curve without randomness: one path, from the first month to past the last."""
     from pathval.api import Engine
 
-    engine, start = Engine(spark), dt.date(1998, 1, 1)
-    model = {"market": ["A"], "sigma": [0.0], "curve": {"A": monthly_curve(spark, sf_dir)}}
-    return engine.evaluate(engine.compile(source, start), model, path_count=1).fair_value_mean
+    curve = monthly_curve(spark, sf_dir)
+    start, last = dt.date.fromisoformat(curve[0][0]), dt.date.fromisoformat(curve[-1][0])
+    end = (last.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
+    engine = Engine(spark)
+    model = {"market": ["A"], "sigma": [0.0], "curve": {"A": curve}}
+    return engine.evaluate(engine.compile(source.format(start=start, end=end), start), model, path_count=1).fair_value_mean
 
 
-CURVE = "c AS (SELECT month(o_orderdate) AS m, round(avg(o_totalprice) / 1000, 3) AS p FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1)"
+CURVE = "c AS (SELECT row_number() OVER (ORDER BY m) AS m, p FROM (SELECT date_trunc('month', o_orderdate) AS m, round(avg(o_totalprice) / 1000, 3) AS p FROM orders GROUP BY 1))"
 
 
-@query(f"""WITH RECURSIVE {CURVE}, plans AS (SELECT 1 AS m, 0 AS q, 0.0::DOUBLE AS v UNION ALL
- SELECT plans.m + 1, q + a, max(v - a * p) FROM plans JOIN c USING (m), (VALUES (-1), (0), (1)) t(a) WHERE q + a BETWEEN 0 AND 2 AND plans.m <= 6 GROUP BY plans.m + 1, q + a, v - a * p)
- SELECT round(max(v), 6) AS fair_value FROM plans WHERE m = 7""")
+@query(f"""WITH RECURSIVE {CURVE}, plans AS (SELECT 1::BIGINT AS m, 0 AS q, 0.0::DOUBLE AS v UNION ALL
+ SELECT m, q, v FROM (SELECT plans.m + 1 AS m, q + a AS q, v - a * p AS v, row_number() OVER (PARTITION BY q + a ORDER BY v - a * p DESC) AS k FROM plans JOIN c USING (m), (VALUES (-1), (0), (1)) t(a) WHERE q + a BETWEEN 0 AND 2) WHERE k = 1)
+ SELECT round(max(v), 6) AS fair_value FROM plans WHERE m = (SELECT max(m) + 1 FROM c)""")
 def storage_intrinsic(spark, sf_dir):
-    """Gas storage of two units over six months on a known curve."""
+    """Gas storage of two units over all months of a known curve."""
     source = """
 from pathval.models.storage import GasStorage
-GasStorage(Date('1998-1-1'), Date('1998-7-1'), 'A', 0, 2, TimeDelta('1m'))
+GasStorage(Date('{start}'), Date('{end}'), 'A', 0, 2, TimeDelta('1m'))
 """
     return spark.range(1).select(rounded(F.lit(intrinsic(spark, sf_dir, source))).alias("fair_value"))
 
 
 @query(f"WITH {CURVE} SELECT round(sum(p), 6) AS fair_value FROM (SELECT p FROM c ORDER BY p DESC LIMIT 5)")
 def swing_intrinsic(spark, sf_dir):
-    """The best five of twelve months."""
+    """The best five of all months."""
     source = """
 def Swing(start, end, underlying, quantity):
     if quantity == 0 or start >= end:
         0
     else:
         Wait(start, Choice(Swing(start + TimeDelta('1m'), end, underlying, quantity - 1) + underlying, Swing(start + TimeDelta('1m'), end, underlying, quantity)))
-Swing(Date('1998-1-1'), Date('1999-1-1'), Market('A'), 5)
+Swing(Date('{start}'), Date('{end}'), Market('A'), 5)
 """
     return spark.range(1).select(rounded(F.lit(intrinsic(spark, sf_dir, source))).alias("fair_value"))
 
 
+# --- the block engine on the same prices --------------------------------------------------------------
+
+
+@query(SQL["bermudan_paths"])
+def block_bermudan_paths(spark, sf_dir):
+    """The value on every path, by blocks of a scenario table."""
+    return by_blocks(spark, sf_dir, BERMUDAN).fair_value.select("path_id", rounded("value").alias("v"))
+
+
+@query(SQL["bermudan_choice"])
+def block_bermudan(spark, sf_dir):
+    """Mean and error of choices at two dates, summed by block."""
+    r = by_blocks(spark, sf_dir, BERMUDAN)
+    return spark.createDataFrame([(round(r.fair_value_mean, 6), round(r.fair_value_error, 6), int(r.summary["n"].iloc[0]))], "fair_value double, std_error double, paths long")
+
+
+@query(SQL["choice_three_way"])
+def block_three_way(spark, sf_dir):
+    """Three alternatives, by blocks."""
+    source = f"Wait('{D1}', Choice(Market('A') - 9, Wait('{D2}', Choice(Market('A') - 9, 0)), 1.5))"
+    return spark.createDataFrame([(round(by_blocks(spark, sf_dir, source).fair_value_mean, 6),)], "fair_value double")
+
+
+@query(SQL["exchange_choice"])
+def block_exchange(spark, sf_dir):
+    """A choice between two markets, by blocks."""
+    source = f"Wait('{D2}', Choice(Market('A'), Market('B'))) + 0 * Wait('{D1}', Market('A') * Market('B'))"
+    return spark.createDataFrame([(round(by_blocks(spark, sf_dir, source).fair_value_mean, 6),)], "fair_value double")
+
+
+@query(SQL["delta_monthly"])
+def block_delta_monthly(spark, sf_dir):
+    """Deltas by month of delivery, summed by block."""
+    r = by_blocks(spark, sf_dir, SPREAD, "monthly")
+    return spark.createDataFrame([(n, round(float(d), 6)) for n, d in r.deltas.items()], "perturbation_name string, delta double")
+
+
+@query(SQL["hedge_report"])
+def block_hedges(spark, sf_dir):
+    """Units, cost and cash of each period's hedge, from the rows that blocks give of every path."""
+    rows = by_blocks(spark, sf_dir, SPREAD, "monthly").paths.where("perturbation_name is not null").withColumn("delivery_date", F.col("delivery_date").cast("string"))
+    err = F.stddev_pop("cash") / F.sqrt(F.count("cash"))
+    return rows.groupBy("market_name", "delivery_date").agg(rounded(F.avg("price_simulated")).alias("price"), rounded(F.avg("price_discounted")).alias("price_discounted"), rounded(F.avg("hedge_units")).alias("hedge_units"), rounded(F.avg("hedge_cost")).alias("hedge_cost"), rounded(err).alias("cash_error"))
+
+
+@query(SQL["cash_cumulative"])
+def block_cash(spark, sf_dir):
+    """Cash so far, by date, of the report."""
+    found = by_blocks(spark, sf_dir, SPREAD, "monthly").cash_paths().groupBy(F.col("delivery_date").cast("string").alias("delivery_date"))
+    return found.agg(rounded(F.avg("cash")).alias("cash"))
+
+
+# --- times, all-time hedges, periods of several days ---------------------------------------------------
+
+
+@query(f"WITH {PATHS} SELECT round(avg({DF1!r} * (pa1 + 2 * pb1)) + avg({DF02!r} * pa2 * pb2 / 10), 6) AS fair_value FROM p")
+def fixing_times(spark, sf_dir):
+    """Prices fixed at two dates; what is fixed is discounted to its own date's present."""
+    source = f"Settlement('{D1}', Fixing('{D1}', Market('A') + 2 * Market('B'))) + Settlement('{D2}', Fixing('{D2}', Market('A') * Market('B') / 10))"
+    return stats(valued(spark, sf_dir, source)[0]).select("fair_value")
+
+
+@query(f"WITH {PATHS} SELECT round(avg({DF1!r} * 3 * pa1 + {DF02!r} * 5 * pb2), 6) AS fair_value FROM p")
+def present_time(spark, sf_dir):
+    """What the present time is, where it is asked for."""
+    source = f"""
+def Paid(name):
+    (3 if PresentTime() == Date('{D1}') else 5) * Market(name)
+Wait('{D1}', Paid('A')) + Wait('{D2}', Paid('B'))
+"""
+    return stats(valued(spark, sf_dir, source)[0]).select("fair_value")
+
+
+@query(f"""WITH {PATHS} SELECT 'A' AS perturbation_name, 10.0::DOUBLE AS price, round(avg({DF1!r} * 2 * pa1 / 10 + {DF02!r} * (greatest(1.01 * pa2 - pb2, 0) - greatest(0.99 * pa2 - pb2, 0)) / 0.2), 6) AS delta FROM p
+ UNION ALL SELECT 'B', 11.0::DOUBLE, round(avg(-{DF1!r} * pb1 / 11 + {DF02!r} * (greatest(pa2 - 1.01 * pb2, 0) - greatest(pa2 - 0.99 * pb2, 0)) / 0.22), 6) FROM p""")
+def hedge_alltime(spark, sf_dir):
+    """Hedges over all time, at today's prices."""
+    v, named, program = valued(spark, sf_dir, SPREAD, "alltime")
+    found = scenarios.deltas(v, named, program, RATE, BUMP).groupBy("perturbation_name")
+    return found.agg(rounded(F.avg("price_simulated")).alias("price"), rounded(F.avg("delta")).alias("delta"))
+
+
+E1, E2 = dt.date(2011, 6, 1), dt.date(2011, 6, 16)
+U1, U2, U12 = dates.year_fraction(OBS, E1), dates.year_fraction(E1, E2), dates.year_fraction(OBS, E2)
+DE1, DE2 = dates.discount_factor(OBS, E1, RATE), dates.discount_factor(OBS, E2, RATE)
+#: Market A at two days of one month.
+SAME_MONTH = f"""w AS (SELECT vec_id AS path_id, sqrt({U1!r}) * {Z.format(1)} AS a1, sqrt({U2!r}) * {Z.format(3)} AS a2 FROM embeddings),
+ p AS (SELECT path_id, 10 * exp(0.5 * a1 - 0.125 * {U1!r}) AS pa1, 10 * exp(0.5 * (a1 + a2) - 0.125 * {U12!r}) AS pa2 FROM w)"""
+
+
+@query(f"""WITH {SAME_MONTH}, h AS (SELECT (pa1 + pa2) / 2 AS price, ({DE1!r} * 0.02 * pa1 + {DE2!r} * (greatest(1.01 * pa2 - 9, 0) - greatest(0.99 * pa2 - 9, 0))) / (0.02 * (pa1 + pa2) / 2) AS delta FROM p)
+ SELECT 'A-2011-6' AS perturbation_name, round(avg(price), 6) AS price, round(avg(delta), 6) AS delta, round(avg(delta * price), 6) AS cash FROM h""")
+def hedge_of_two_days(spark, sf_dir):
+    """A month with two days of delivery is hedged at their mean price."""
+    v, named, program = valued(spark, sf_dir, f"Wait('{E1}', Market('A')) + Wait('{E2}', Max(Market('A') - 9, 0))", "monthly")
+    found = scenarios.deltas(v, named, program, RATE, BUMP).groupBy("perturbation_name")
+    return found.agg(rounded(F.avg("price_simulated")).alias("price"), rounded(F.avg("delta")).alias("delta"), rounded(F.avg("cash")).alias("cash"))
+
+
 # --- streams and simulated valuations: no SQL form ---------------------------------------------------
 
 
