@@ -737,20 +737,23 @@ def hedge_of_two_days(spark, sf_dir):
 # --- streams and simulated valuations: no SQL form ---------------------------------------------------
 
 
-@query("SELECT event_type AS market, ts::DATE::VARCHAR AS day, arg_max(value, ts) AS price FROM events GROUP BY 1, 2")
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 2 DAY AS closed FROM events)
+ SELECT event_type AS market, ts::DATE::VARCHAR AS day, arg_max(value, ts) AS price FROM events, m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= closed GROUP BY 1, 2""")
 def stream_last_prices(spark, sf_dir):
-    """Last prices of windows, from a stream that is read to its end."""
+    """Last prices of all windows that the watermark has closed, from a stream that is read to its end and appended to files."""
     import uuid
 
+    from pathval.folders import shared_folder
     from pathval.streaming.quotes import last_prices
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = stream.select(F.col("event_type").alias("market"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
-    name = f"pathval_{uuid.uuid4().hex}"
-    run = last_prices(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    found = last_prices(rows)
+    run = found.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select("market", F.col("start").cast("date").cast("string").alias("day"), "price")
+    return spark.read.schema(found.schema).parquet(f"{folder}/rows").select("market", F.col("start").cast("date").cast("string").alias("day"), "price")
 
 
 @query()

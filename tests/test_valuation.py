@@ -527,6 +527,36 @@ def test_stream_recalibrates(spark, tmp_path):
     assert any(r and r[0]["market"] == "A" and r[0]["volatility"] > 0 for r in seen)
 
 
+def test_late_quotes_do_not_count(spark, tmp_path):
+    """Rows behind the watermark are left out, windows come once they are closed."""
+    from pathval.streaming.quotes import last_prices
+
+    day = lambda d, h=0: dt.datetime(2020, 1, d, h)
+    batches = [[("A", day(1, 1), 1.0), ("A", day(1, 5), 2.0), ("B", day(1, 2), 7.0)], [("A", day(9), 3.0), ("A", day(1, 4), 1.5)], [("A", day(1, 23), 9.0), ("A", day(20), 4.0)]]
+    schema = "market string, ts timestamp, price double"
+    for rows in batches:  # a batch a file
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        run = last_prices(stream).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    got = {(r["market"], r["start"].day, r["price"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("A", 1, 2.0), ("B", 1, 7.0), ("A", 9, 3.0)}
+
+
+def test_shared_folder_of_a_cluster_must_be_named():
+    from pathval.folders import shared_folder
+
+    class Session:
+        def __init__(self, **known):
+            self.conf = {k.replace("_", "."): v for k, v in known.items()}
+
+    assert shared_folder(Session(spark_checkpoint_dir="hdfs://x/y/", spark_master="yarn")) == "hdfs://x/y"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(Session(spark_master=master))
+    assert shared_folder(Session(spark_master="local[4]")) == shared_folder(Session(spark_master="local"))
+
+
 def test_command_line(spark, tmp_path, capsys):
     import json
 
