@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,27 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathval.folders import remove, shared_folder
+
 #: ASCII white space, the only characters that part words: space and \t \n \v \f \r.
 BLANKS = np.zeros(256, dtype=bool)
 BLANKS[[9, 10, 11, 12, 13, 32]] = True
 
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate tables.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    local tests, a temporary folder of this process stands in.
-    """
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    _own_folder = _own_folder or tempfile.mkdtemp(prefix="pathval-")
-    return _own_folder
-
-
 #: So many rows one task takes whatever their keys are.
 FEW = 10_000
 
@@ -57,13 +41,27 @@ def looked_up(rows: DataFrame, found: DataFrame, key: str, spread: Column, total
     return dealt.join(found.withColumn("pv_piece", F.explode(shares)), [key, "pv_piece"]).drop("pv_piece")
 
 
+#: Folders of intermediate tables that this process has written and not removed.
+made: list[str] = []
+
+
 def staged(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    made.append(path)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_staged(spark: SparkSession, since: int = 0) -> None:
+    """Removes intermediate tables, those before place ``since`` of ``made`` excepted.
+
+    To be called when what was made of them is written; nothing that reads them may be used then.
+    """
+    while len(made) > since:
+        remove(spark, made.pop())
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct, whatever their names."""
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns]).alias("pv_row")

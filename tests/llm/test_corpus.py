@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pathval.llm import hilbert_shards, jaccard_join, line_dedup, packing
+from pathval.llm import common, hilbert_shards, jaccard_join, line_dedup, packing
 from pathval.llm.common import shared_folder, staged
 from tests.llm.test_text import LONG, ODD, SCHEMA
 
@@ -29,6 +29,28 @@ def test_shared_folder_is_the_sessions(spark):
     assert staged(spark.range(5)).count() == 5
 
 
+def test_intermediate_tables_are_removed(spark):
+    import os
+
+    before = len(common.made)
+    kept = staged(spark.range(7))
+    here = len(common.made)
+    staged(spark.range(5))
+    gone = common.made[here]
+    common.remove_staged(spark, here)
+    assert kept.count() == 7 and not os.path.exists(gone.removeprefix("file:")) and len(common.made) == before + 1
+
+
+def test_pipeline_leaves_its_result_alone(spark):
+    import os
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and os.listdir(f"{folder}/{left.pop()}") == ["4"] and out.count() > 0
+
+
 # --- shards -------------------------------------------------------------------------------------
 
 
