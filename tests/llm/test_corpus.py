@@ -76,6 +76,15 @@ def test_shards_follow_the_law(spark, odd, monkeypatch, rows):
     assert hilbert_shards.sharded(docs.limit(0), ["lang"], shards=4).count() == 0
 
 
+def test_shards_of_clashing_names(odd):
+    names = ["size", "shard", "at", "slot", "law", "same", "own", "curve", "pv_many", "v0", "p", "ahead", "row"]
+    docs = odd.select("doc_id", "text", *[F.length("text").alias(n) for n in names])
+    plainly = hilbert_shards.sharded(odd.select("doc_id", "text", F.length("text").alias("size")), ["size"], shards=4)
+    assert sorted(map(tuple, hilbert_shards.sharded(docs, ["size"], shards=4).collect()), key=repr) == sorted(map(tuple, plainly.collect()), key=repr)
+    two = hilbert_shards.sharded(docs, ["shard", "curve"], shards=4)
+    assert two.count() == len(ODD) and two.columns == plainly.columns
+
+
 def test_more_shards_than_rows(odd):
     out = hilbert_shards.sharded(odd, ["n_words"], shards=40).toPandas()
     assert sorted(out["shard"]) == list(range(len(ODD))) and (out["slot"] == 0).all()
@@ -181,6 +190,12 @@ def test_ids_of_special_strings_and_long_runs(most):
         assert words.encode(text.encode()) == library_ids(text)[:-1].tobytes(), text[:40]
 
 
+def test_pieces_of_clashing_names(odd):
+    names = ["piece", "length", "start", "sequence_id", "offset", "part", "seq", "bound", "cert", "pool"]
+    out = packing.production(odd.select("doc_id", "text", *[F.lit("x").alias(n) for n in names]))
+    assert out.count() == packing.production(odd).count()
+
+
 def test_certified_partitions_exchange_nothing(spark):
     """Pieces of over half a sequence need one each: every partition meets its bound at once."""
     lengths = np.random.default_rng(3).integers(1030, 1300, 800)

@@ -305,6 +305,142 @@ def test_ftrl_separates_and_keeps_zeros():
     assert activate(np.array([[1.0, 1.0, 1.0]])) == pytest.approx(1 / 3)
 
 
+class BruteLeader:
+    """FTRL-proximal, a number at a time."""
+
+    def __init__(self, outputs, rate, beta, l1, l2):
+        self.z, self.n, self.outputs = {}, {}, outputs
+        self.rate, self.beta, self.l1, self.l2 = rate, beta, l1, l2
+
+    def weight(self, i, k):
+        z, n = self.z.get((i, k), 0.0), self.n.get((i, k), 0.0)
+        if abs(z) <= self.l1:
+            return 0.0
+        return (math.copysign(self.l1, z) - z) / ((self.beta + math.sqrt(n)) / self.rate + self.l2)
+
+    def raw(self, row):
+        return [sum(x * self.weight(i, k) for i, x in row.items()) for k in range(self.outputs)]
+
+    def learn(self, row, wanted, bias=0.0):
+        w = {(i, k): self.weight(i, k) for i in row for k in range(self.outputs)}
+        p = brute_softmax([r + bias for r in self.raw(row)])
+        for i, x in row.items():
+            for k in range(self.outputs):
+                g = (p[k] - wanted[k]) * x
+                n = self.n.get((i, k), 0.0)
+                self.z[i, k] = self.z.get((i, k), 0.0) + g - (math.sqrt(n + g * g) - math.sqrt(n)) / self.rate * w[i, k]
+                self.n[i, k] = n + g * g
+
+
+def brute_softmax(raw):
+    if len(raw) == 1:
+        return [1 / (1 + math.exp(-raw[0]))]
+    e = [math.exp(r - max(raw)) for r in raw]
+    return [x / sum(e) for x in e]
+
+
+@pytest.mark.parametrize("outputs", [1, 3])
+def test_ftrl_equals_brute_force(outputs):
+    rng = np.random.default_rng(outputs)
+    ours, brute = Leader(30, outputs, 0.7, 1.3, 0.05, 0.1), BruteLeader(outputs, 0.7, 1.3, 0.05, 0.1)
+    for _ in range(120):
+        at = np.sort(rng.choice(30, 6, replace=False))
+        x, wanted = rng.standard_normal(6), rng.dirichlet(np.ones(outputs)) if outputs > 1 else rng.integers(0, 2, 1).astype(float)
+        ours.learn(at, x, wanted, 0.2)
+        brute.learn(dict(zip(at.tolist(), x.tolist(), strict=True)), wanted, 0.2)
+    got = ours.weights()
+    assert all(got[i, k] == pytest.approx(brute.weight(i, k), abs=1e-9) for i in range(30) for k in range(outputs)) and (got == 0).any()
+
+
+def brute_grams(text, s=quality_model.Settings()):
+    """Counts of hashed word n-grams, by whole numbers."""
+    top, found = 1 << 64, {}
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    h = [zlib.crc32(w) for w in words]
+    grams = [*h, *((a * 0x9E3779B97F4A7C15 + b) % top for a, b in zip(h, h[1:], strict=False)), *(g for g in (1, 2) for a, b in zip(h, h[g:], strict=False) if a == b)]
+    for g in grams:
+        at = g * 0xD6E8FEB86659FD93 % top >> (64 - s.bits)
+        found[at] = found.get(at, 0) + 1
+    return found
+
+
+def brute_row(text):
+    found = brute_grams(text)
+    norm = math.sqrt(sum(n * n for n in found.values())) or 1.0
+    return {i: n / norm for i, n in found.items()}
+
+
+def test_quality_query_equals_brute_force(spark):
+    """The whole query: grams, sample, updates, scores."""
+    from pathval.llm.queries import op5_quality_classifier
+
+    sf, s = "/root/testdata/sf0.001", quality_model.Settings()
+    docs = table(spark, "documents", "sf0.001")
+    rows = docs.join(table(spark, "labels", "sf0.001"), "doc_id").where("quality in (0, 1)").select("doc_id", "text", "quality", F.xxhash64("text", F.col("quality")).alias("turn")).collect()
+    use = sorted((r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5), key=lambda r: r["turn"])
+    good = sum(r["quality"] for r in use)
+    bias, brute = math.log((good + 1) / (len(use) - good + 1)), BruteLeader(1, s.rate, 1.0, s.l1, s.l2)
+    grams = [brute_row(r["text"] or "") for r in use]
+    for _ in range(s.epochs):
+        for r, row in zip(use, grams, strict=True):
+            brute.learn(row, [r["quality"]], bias)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = op5_quality_classifier(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        score = brute_softmax([brute.raw(brute_row(texts[r["doc_id"]] or ""))[0] + bias])[0]
+        assert r["score"] == pytest.approx(score, abs=2e-4) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def brute_tfidf(text, seen, s):
+    """Sublinear counts of hashed character n-grams by inverse document frequency, of length 1."""
+    found = {}
+    for i in brute_characters(text, s):
+        found[i] = found.get(i, 0) + 1
+    x = {i: (1 + math.log(n)) * (math.log((1 + seen["all"]) / (1 + seen.get(i, 0))) + 1) for i, n in found.items()}
+    norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+    return {i: v / norm for i, v in x.items()}
+
+
+def brute_characters(text, s):
+    points, top = [ord(c) for c in text.lower()], 1 << 32
+    for n in range(1, s.order + 1):
+        for k in range(len(points) - n + 1):
+            g = points[k] + 1
+            for p in points[k + 1 : k + n]:
+                g = (g * 0x01000193 + p) % top
+            yield g * 0x9E3779B1 % top >> (32 - s.bits)
+
+
+def test_language_model_equals_brute_force():
+    """Frequencies, weights, elastic net, temperature and predictions."""
+    rng = np.random.default_rng(8)
+    sounds = {"aa": ["ka", "lo", "mi"], "bb": ["lo", "mi", "tu"], "cc": ["tu", "ré", "ka"]}
+    rows = [(" ".join("".join(rng.choice(sounds[x], 3)) for _ in range(5)), x) for x in sounds for _ in range(12)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    s = language_id.Settings(bits=9)
+    texts, langs = [t for t, _ in rows], [x for _, x in rows]
+    seen = {"all": len(texts)}
+    for t in texts:
+        for i in set(brute_characters(t, s)):
+            seen[i] = seen.get(i, 0) + 1
+    made = [(brute_tfidf(t, seen, s), [float(x == y) for y in sorted(sounds)]) for t, x in rows]
+    brute = BruteLeader(3, s.rate, 1.0, s.l1, s.l2)
+    for _ in range(s.epochs):
+        for k, (row, wanted) in enumerate(made):
+            if k % 10 >= s.held_back:
+                brute.learn(row, wanted)
+    back = [(brute.raw(row), wanted) for k, (row, wanted) in enumerate(made) if k % 10 < s.held_back]
+    loss = lambda t: -sum(math.log(max(1e-12, sum(p * w for p, w in zip(brute_softmax([r / t for r in raw]), wanted, strict=True)))) for raw, wanted in back)
+    best = min(np.geomspace(0.05, 20, 241).tolist(), key=loss)
+    m = language_id.train(texts, langs, s)
+    assert m.languages == tuple(sorted(sounds)) and m.temperature == pytest.approx(best)
+    for t in [*texts, "kalo", "tu ré", "Zzz"]:
+        p = brute_softmax([r / best for r in brute.raw(brute_tfidf(t, seen, s))])
+        lang, score = language_id.predict(t, m, s)
+        assert score == pytest.approx(max(p), abs=1e-6) and lang == sorted(sounds)[p.index(max(p))]
+
+
 def table(spark, name, sf="sf0.01"):
     return spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
 
@@ -410,6 +546,13 @@ def test_fingerprints_of_odd_rows(monkeypatch, odd, rows):
     assert lz_fingerprint.fingerprints(odd.limit(0)).count() == 0
 
 
+def test_fingerprints_of_clashing_names(spark):
+    names = ["part", "key", "fingerprint", "pv_order", "pv_tie", "late", "first"]
+    rows = [(k, t, *names) for k, t in enumerate(["one text", None, "", "one text", "ä" * 50])]
+    got = lz_fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))).toPandas()
+    assert sorted(got["doc_id"]) == list(range(5)) and got.set_index("doc_id")["fingerprint"][0] == got.set_index("doc_id")["fingerprint"][3]
+
+
 def test_fingerprints_tell_edits_from_neighbours(spark):
     out = lz_fingerprint.fingerprints(table(spark, "documents")).toPandas()
     assert (out["near_edited"] > out["near_next"]).mean() > 0.98
