@@ -77,13 +77,13 @@ def repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return again.where(spot != F.col("pv_first")).select("pv_doc", "pv_key", "pos", "end")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with repeated chunks taken out of its texts, and their lines' numbers in ``removed_col`` if named.
 
     The first place is that of the least id, then the earliest in the text; a null id comes
     first.  Lines without a word are no part of a chunk, but those between two lines of a
-    removed one go with it.  Null and empty texts have no chunks and stay; a text whose lines
-    all go becomes empty, its row stays.  Rows equal in id and text count as one and change
+    removed one go with it.  Null and empty texts have no chunks and stay; a text that has no word
+    left when lines were taken out keeps its row, unless ``drop_emptied``.  Rows equal in id and text count as one and change
     alike.  All other columns stay as they are, whatever their names; no rows give no rows.
     Very long texts are read by line and hash as all others are.
     """
@@ -95,6 +95,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = joined.select("pv_row", "pv_gone", F.when(F.col("pv_gone").isNotNull(), lines_of(text)).alias("pv_lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("pv_lines") - 1), F.col("pv_gone"))
     clean = F.when(F.col("pv_gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.col("pv_lines")[k]), "\n"))
+    if drop_emptied:
+        joined = joined.where(F.col("pv_gone").isNull() | (F.btrim(F.array_join(F.transform(kept, lambda k: F.col("pv_lines")[k]), "\n"), F.lit(BLANK)) != ""))
     removed = [] if removed_col is None else [F.sort_array("pv_gone").alias(removed_col)]
     return joined.select(*[clean.alias(c) if c == text_col else F.col("pv_row")[c].alias(c) for c in docs.columns], *removed)
 
