@@ -36,12 +36,12 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without chunks of lines that stand earlier in the corpus.
 
-    Earlier is by id, a null one first, then by place.  A document all of whose lines stand
-    earlier stays as a row with an empty text; null and empty texts stay as they are; rows equal
-    in id and text count as one.  ``n_chars``, if there, follows the new text; other columns stay
+    Earlier is by id, a null one first, then by place.  A document that has no word left, since all
+    its lines stand earlier, goes with them; null and empty texts stay as they are; rows equal in
+    id and text count as one.  ``n_chars``, if there, follows the new text; other columns stay
     as they are.  No rows give none.
     """
-    out = line_dedup.deduplicated(docs)
+    out = line_dedup.deduplicated(docs, drop_emptied=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out
