@@ -28,7 +28,7 @@ class ForwardCurve:
         return self.prices[k - 1]
 
 
-def as_of(wanted: DataFrame, quotes: DataFrame, by: str, day: str, price: str, buckets: int = 0) -> DataFrame:
+def as_of(wanted: DataFrame, quotes: DataFrame, by: str, day: str, price: str) -> DataFrame:
     """``wanted`` with ``price`` of the last quote of its ``by`` on or before its ``day``, null before the first.
 
     ``quotes`` has one price for a ``by`` and ``day``.  Both sides meet in one shuffle by key and

@@ -353,6 +353,14 @@ def test_timeout(run):
         run("0" + days, "daily", path_count=60_000, timeout=0.2)
 
 
+def test_plot_needs_periods(run):
+    with pytest.raises(ValueError, match="no periods"):
+        run("Market('NBP')", path_count=100).plot()
+    plt = pytest.importorskip("matplotlib.pyplot")
+    plt.switch_backend("Agg")
+    assert len(run(BERMUDAN, "monthly", path_count=500).plot(pause=0.01).axes) == 3
+
+
 def test_progress_and_time_left():
     from pathval import watch
 
