@@ -310,7 +310,7 @@ def test_slices_lose_no_link(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard_join, "ANCHORS", 2)
     monkeypatch.setattr(jaccard_join, "SORTED", 300)
     monkeypatch.setattr(jaccard_join, "DEAL", 500)
-    monkeypatch.setattr(jaccard_join, "FLUSH", 100)  # so that common shingles are dealt by place
+    monkeypatch.setattr(jaccard_join, "FLUSH", 20)  # so that common shingles are dealt by place
     got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute_classes(rows)
 
