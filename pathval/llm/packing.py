@@ -39,48 +39,50 @@ class Words:
     Each run of other characters is encoded once and its ids kept as bytes.  Of printable Latin
     text, where normalising is lower-casing alone, a run is cut into parts as the tokenizer
     does and each part given to its model once; other runs, and those with a special token's
-    string, go through the whole tokenizer.  What is kept is forgotten past ``most`` bytes,
-    within a text too, and long runs are never kept, so memory is bounded whatever texts hold.
+    string, go through the whole tokenizer.  Past ``most`` bytes what is kept becomes the old
+    part and the old part of before is forgotten, except for what is met again meanwhile; long
+    runs are never kept.  So memory is bounded whatever texts hold, within a text too, and common
+    runs stay.
     """
 
     #: Runs of a text that are looked up at once, bytes of the longest run kept, bytes of an entry besides what it says.
-    BATCH, LONG, ENTRY = 50_000, 64, 190
+    BATCH, LONG, ENTRY = 50_000, 64, 170
 
-    def __init__(self, path: str, most: int = 24_000_000):
+    def __init__(self, path: str, most: int = 30_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.cut = self.tokenizer.model, regex.compile(PARTS).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most = most
-        self.forget()
-
-    def forget(self) -> None:
+        if any(x.isalpha() for x in self.special):
+            raise ValueError("a special token of letters alone is not told from a word")
+        self.most, self.size = most, 0
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.size = 0
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, part: str, key: bytes) -> bytes:
+        """Ids of a lower-case part, whose bytes are ``key``; a part is a run whose ids are its own."""
+        ids = self.known.get(key)
+        if ids is None:
+            ids = self.old.get(key)
+            if ids is None:
+                signs = part if part.isascii() else key.decode("latin-1").translate(BYTE_SIGNS)
+                ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+            if len(key) <= self.LONG:
+                self.known[key] = ids
+                self.size += len(key) + len(ids) + self.ENTRY
+        return ids
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if not text.isprintable() or not text.isascii() and max(text) >= "\u0250" or any(x in text for x in self.special):
+        plain, low = text.isascii() or max(text) < "\u0250", text.lower()
+        if plain and low.isalpha():  # most words, cut without the pattern; no special token is letters alone
+            return self._ids(low, low.encode())
+        if not plain or not text.isprintable() or any(x in text for x in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        parts, out, low = self.parts, [], text.lower()
-        if low.isalpha():  # most words, cut without the pattern
-            found = (low,)
-        elif low[:-1].isalpha() and low[-1] in ".,":
-            found = (low[:-1], low[-1])
-        else:
-            found = self.cut(low)
-        for part in found:
-            ids = parts.get(part)
-            if ids is None:
-                signs = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS)
-                ids = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-                if len(signs) <= self.LONG:
-                    parts[part] = ids
-                    self.size += len(signs) + len(ids) + self.ENTRY
-            out.append(ids)
-        return b"".join(out) if len(out) != 1 else out[0]
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self._ids(low[:-1], low[:-1].encode()) + self._ids(low[-1], low[-1].encode())
+        return b"".join([self._ids(part, part.encode()) for part in self.cut(low)])
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian unsigned 32-bit numbers."""
@@ -88,18 +90,21 @@ class Words:
         for k in range(0, len(words), self.BATCH):
             some = words[k : k + self.BATCH] if len(words) > self.BATCH else words
             if self.size > self.most:
-                self.forget()
-            known, long = self.known, {}
+                self.old, self.known, self.size = self.known, {}, 0
+            known, old, long = self.known, self.old, {}
             for w in set(some):
-                if w not in known:
+                if w in known:
+                    continue
+                ids = old.get(w)
+                if ids is None:
                     ids = self._word(w)
-                    if len(w) <= self.LONG:
-                        known[w] = ids
-                        self.size += len(w) + len(ids) + self.ENTRY
-                    else:
-                        long[w] = ids
+                if len(w) > self.LONG:
+                    long[w] = ids
+                elif w not in known:
+                    known[w] = ids
+                    self.size += len(w) + len(ids) + self.ENTRY
             out.append(b"".join([long[w] if len(w) > self.LONG else known[w] for w in some] if long else map(known.__getitem__, some)))
-        return b"".join(out)
+        return b"".join(out) if len(out) != 1 else out[0]
 
 
 _words: dict[str, Words] = {}
@@ -131,7 +136,6 @@ def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_
                         yield table(out)
                         out = []
             yield table(out)
-        words.forget()
         give_back()
 
     def table(out: list[tuple]) -> pa.RecordBatch:
