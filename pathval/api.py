@@ -141,6 +141,9 @@ def calc(source_code: str, observation_date: object = None, interest_rate: float
                 print(f"{contract.call_count} nodes, compiled in {compiled - began:.3f} s", flush=True)
             results = engine.evaluate(contract, price_process, interest_rate=interest_rate, path_count=path_count, perturbation_factor=perturbation_factor, periodisation=periodisation, is_double_sided_deltas=is_double_sided_deltas, seed=seed, watch=watch)
             results.summary  # noqa: B018  runs the last job while it is watched
+            if results.paths is not None:
+                whole = results.program.evaluations(is_double_sided_deltas)
+                watch.step(whole, whole)
     except (TimeoutError, InterruptSignalReceived) as e:
         print(e, flush=True)
         raise SystemExit(1) from None
